@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sightweave.llm.clusters import cluster_profiles, similarity_clusters
 from sightweave.llm.knn import nearest_vectors
+from sightweave.llm.percentiles import combine_summaries, multi_select, percentile_summary
+from sightweave.llm.topn import top_n
 from sightweave.session import table
 
 DIM, NEIGHBOURS, NEAR, LINK = 128, 10, 0.97, 0.76
@@ -38,5 +40,55 @@ def p3_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_profiles(_clusters(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p3_found": p3_found, "p3_profiles": p3_profiles}
-SQL: dict[str, str] = {}
+TOP, PERCENTILES, HIGH_P, HIGH = 5, [0.05, 0.25, 0.5, 0.75, 0.9, 0.95], 0.9, 0.80
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of each subject."""
+    valid = table(spark, sf_dir, "candidates").filter(F.col("score").between(-1, 1))
+    return top_n(valid, ["run_id", "subject_handle"], "score", "handle", "cand_id", TOP).select("run_id", "subject_handle", F.col("item").alias("cand_id"))
+
+
+def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid measures of candidates counted once, with the context of their decision: run_id, context, measure, value."""
+    context = table(spark, sf_dir, "decisions").select("decision_id", "context").dropDuplicates(["decision_id"])
+    once = table(spark, sf_dir, "candidates").select("decision_id", "cand_id", "run_id", "score", "pair_similarity_to_best")
+    once = once.repartition("decision_id").dropDuplicates(["decision_id", "cand_id"])
+    named = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("score", "pair_similarity_to_best")])
+    long = once.join(context, "decision_id").select("run_id", "context", F.explode(named).alias("m")).select("run_id", "context", "m.measure", "m.value")
+    return long.filter(F.col("value").between(-1, 1))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of measures whose 90th percentile is at least 0.80."""
+    found = multi_select(_measures(spark, sf_dir), ["run_id", "context", "measure"], "value", [HIGH_P])
+    return found.filter(F.col("value") >= HIGH).select("run_id", "context", "measure")
+
+
+def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and other percentiles of each run, context and measure."""
+    return multi_select(_measures(spark, sf_dir), ["run_id", "context", "measure"], "value", PERCENTILES)
+
+
+def p6_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all runs, from the summaries of the runs."""
+    summaries = percentile_summary(_measures(spark, sf_dir), ["run_id", "context", "measure"], "value")
+    return combine_summaries(summaries, ["context", "measure"], PERCENTILES)
+
+
+QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p3_found": p3_found, "p3_profiles": p3_profiles, "p5_found": p5_found, "p6_found": p6_found, "p6_percentiles": p6_percentiles, "p6_combined": p6_combined}
+
+_MEASURES = """
+WITH c AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY logged_at DESC) = 1),
+d AS (SELECT DISTINCT decision_id, context FROM decisions),
+m AS (SELECT c.run_id, d.context, 'score' AS measure, c.score AS value FROM c JOIN d USING (decision_id) WHERE c.score BETWEEN -1 AND 1
+  UNION ALL SELECT c.run_id, d.context, 'pair_similarity_to_best', c.pair_similarity_to_best FROM c JOIN d USING (decision_id) WHERE c.pair_similarity_to_best BETWEEN -1 AND 1)"""
+SQL: dict[str, str] = {
+    "p5_found": """
+SELECT run_id, subject_handle, cand_id FROM (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY logged_at DESC) = 1) WHERE score BETWEEN -1 AND 1
+QUALIFY row_number() OVER (PARTITION BY run_id, subject_handle ORDER BY score DESC, handle DESC, cand_id DESC) <= 5""",
+    "p6_found": _MEASURES + " SELECT run_id, context, measure FROM m GROUP BY ALL HAVING quantile_disc(value, 0.9) >= 0.8",
+    "p6_percentiles": _MEASURES
+    + """ SELECT run_id, context, measure, p, n, vs[greatest(1, CAST(ceil(round(p * n, 9)) AS BIGINT))] AS value
+FROM (SELECT run_id, context, measure, count(*) AS n, list(value ORDER BY value) AS vs FROM m GROUP BY ALL), (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.9, 0.95])::DOUBLE AS p)""",
+}
