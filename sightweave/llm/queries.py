@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightweave.llm.clusters import cluster_profiles, similarity_clusters
 from sightweave.llm.knn import nearest_vectors
+from sightweave.llm.leaks import leak_report, leaked_items
+from sightweave.llm.packing import TOKENIZERS, VOCABULARY, pack_texts, token_counts
 from sightweave.llm.percentiles import combine_summaries, multi_select, percentile_summary
 from sightweave.llm.topn import top_n
 from sightweave.session import table
@@ -76,7 +80,44 @@ def p6_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine_summaries(summaries, ["context", "measure"], PERCENTILES)
 
 
-QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p3_found": p3_found, "p3_profiles": p3_profiles, "p5_found": p5_found, "p6_found": p6_found, "p6_percentiles": p6_percentiles, "p6_combined": p6_combined}
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", os.path.join(TOKENIZERS, VOCABULARY))
+
+
+def _capacities(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The capacities of the fixed table of packs."""
+    return sorted(r[0] for r in table(spark, sf_dir, "pack_sizes").select("capacity_tokens").distinct().collect())
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that had to be split for the largest packs."""
+    placed = pack_texts(_sizes(spark, sf_dir), _capacities(spark, sf_dir)[-1:])
+    return placed.filter("piece = 1").select(F.col("text_id").alias("doc_id")).distinct()
+
+
+def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the packs of each capacity."""
+    return pack_texts(_sizes(spark, sf_dir), _capacities(spark, sf_dir)).withColumnRenamed("text_id", "doc_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs, tokens and unused share of each capacity."""
+    by_capacity = p7_packs(spark, sf_dir).groupBy("capacity", "pack").agg(F.sum("n_tokens").alias("used")).groupBy("capacity")
+    return by_capacity.agg(F.count(F.lit(1)).alias("packs"), F.sum("used").alias("tokens")).withColumn("unused", 1 - F.col("tokens") / (F.col("packs") * F.col("capacity")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that carry passages of held-out items, with the items."""
+    items = table(spark, sf_dir, "eval_items").filter(F.col("split_name").isin("test", "validation"))
+    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "passage")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that leaked, with the number of documents."""
+    return leak_report(p8_found(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p3_found": p3_found, "p3_profiles": p3_profiles, "p5_found": p5_found, "p6_found": p6_found, "p6_percentiles": p6_percentiles, "p6_combined": p6_combined, "p7_found": p7_found, "p7_packs": p7_packs, "p7_fill": p7_fill, "p8_found": p8_found, "p8_report": p8_report}
 
 _MEASURES = """
 WITH c AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY logged_at DESC) = 1),
