@@ -12,6 +12,7 @@ from sightweave.llm.knn import nearest_vectors
 from sightweave.llm.leaks import leak_report, leaked_items
 from sightweave.llm.packing import TOKENIZERS, VOCABULARY, pack_texts, token_counts
 from sightweave.llm.percentiles import combine_summaries, multi_select, percentile_summary
+from sightweave.llm.residue import prepared, residue_paragraphs, train
 from sightweave.llm.topn import top_n
 from sightweave.session import table
 
@@ -117,7 +118,23 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(p8_found(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p3_found": p3_found, "p3_profiles": p3_profiles, "p5_found": p5_found, "p6_found": p6_found, "p6_percentiles": p6_percentiles, "p6_combined": p6_combined, "p7_found": p7_found, "p7_packs": p7_packs, "p7_fill": p7_fill, "p8_found": p8_found, "p8_report": p8_report}
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepared(table(spark, sf_dir, "documents"), "doc_id", "text", "title", "source", "links")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which residue stands in place of content."""
+    docs = _documents(spark, sf_dir)
+    return residue_paragraphs(docs, train(docs)).select("doc_id").distinct()
+
+
+def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the classifier does on sources it was not fitted on, against the weak labels."""
+    report = train(_documents(spark, sf_dir)).report
+    return spark.createDataFrame([(k, float(v)) for k, v in sorted(report.items())], "figure string, value double")
+
+
+QUERIES = {"p1_found": p1_found, "p1_nearest": p1_nearest, "p3_found": p3_found, "p3_profiles": p3_profiles, "p5_found": p5_found, "p6_found": p6_found, "p6_percentiles": p6_percentiles, "p6_combined": p6_combined, "p7_found": p7_found, "p7_packs": p7_packs, "p7_fill": p7_fill, "p8_found": p8_found, "p8_report": p8_report, "p9_found": p9_found, "p9_validation": p9_validation}
 
 _MEASURES = """
 WITH c AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY logged_at DESC) = 1),
