@@ -1,7 +1,7 @@
 """All core queries and their SQL, by name."""
 
-from sightweave.plans import timeline
+from sightweave.plans import identity, timeline
 
-MODULES = [timeline]
+MODULES = [timeline, identity]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
