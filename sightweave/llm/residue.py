@@ -200,7 +200,7 @@ def train(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> Model:
                     y = weak_label(p, tokens, bool(bad))
                     hard = y == 0 and ("@said@" in p or "@code@" in p or len(tokens) <= 8 or _SCRIPTS.search(p) or not _CUE_WORDS.isdisjoint(tokens))
                     # Of plain content a fixed share by hash is enough.
-                    if y == 1 or hard and zlib.crc32(p.encode()) % 2 == 0 or y == 0 and zlib.crc32(f"{doc} {k}".encode()) % 16 == 0:
+                    if y == 1 or y == 0 and zlib.crc32(f"{doc} {k}".encode()) % (2 if hard else 16) == 0:
                         out.append((source, y, f.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.int32()))], names=schema.names)
 
