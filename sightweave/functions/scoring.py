@@ -90,7 +90,7 @@ def display_label(identity: Column, track: Column) -> Column:
 def register(spark: SparkSession) -> None:
     """The SQL functions reid_unit, reid_cosine, reid_quality and reid_verify for this session."""
     length = "sqrt(aggregate(v, 0D, (s, x) -> s + x * x))"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION reid_unit(v ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN CASE WHEN {length} > 0 AND {length} < double('infinity') THEN transform(v, x -> x / {length}) END")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION reid_unit(v ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN transform(array({length}), n -> CASE WHEN n > 0 AND n < double('infinity') THEN transform(v, x -> x / n) END)[0]")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION reid_cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN aggregate(zip_with(reid_unit(a), reid_unit(b), (x, y) -> x * y), 0D, (s, x) -> s + x)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION reid_quality(accepted BOOLEAN, blur DOUBLE, brightness DOUBLE) RETURNS DOUBLE RETURN CASE WHEN accepted IS NULL THEN 0.5D WHEN NOT accepted THEN 0D ELSE least(1D, greatest(0D, coalesce(least(1D, blur / 60), 1D) * coalesce(greatest(0D, 1 - abs(brightness - 127.5D) / 127.5D), 1D))) END")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION reid_verify(cosine DOUBLE, rerank DOUBLE, n BIGINT, gap DOUBLE, quality DOUBLE) RETURNS DOUBLE RETURN 1 / (1 + exp(-({BIAS}D + {W_COSINE}D * cosine + {W_RERANK}D * rerank + {W_COUNT}D * log1p(greatest(0, n)) + {W_GAP}D * greatest(0D, gap) + {W_QUALITY}D * quality)))")

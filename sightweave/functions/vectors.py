@@ -22,17 +22,19 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(v: Column) -> Column:
     """The vector at length one; null if it is zero, not finite, or null."""
-    n = norm(doubles(v))
-    ok = (n > 0) & (n < float("inf")) & ~F.isnan(n)
-    return F.when(ok, F.transform(doubles(v), lambda x: x / n))
+    return _once(norm(doubles(v)), lambda n: F.when((n > 0) & (n < float("inf")), F.transform(doubles(v), lambda x: x / n)))
 
 
 def usable(v: Column, dim: int) -> Column:
     """Whether a vector has dim finite numbers that aren't all zero."""
-    n = norm(doubles(v))
-    return v.isNotNull() & (F.size(v) == dim) & (n > 0) & ~F.isnan(n) & (n < float("inf"))
+    return v.isNotNull() & (F.size(v) == dim) & _once(norm(doubles(v)), lambda n: F.coalesce((n > 0) & (n < float("inf")), F.lit(False)))
 
 
 def unrolled_dot(a: str, b: str, dim: int) -> Column:
