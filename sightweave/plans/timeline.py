@@ -55,7 +55,7 @@ _RANGES = f"""
 WITH d AS ({_DECISIONS}), r AS (
   SELECT 'frame' AS clock, run_id, assigned_id, list_distinct(cameras)[1] AS camera, least(frame_range[1], frame_range[2]) AS a, greatest(frame_range[1], frame_range[2]) AS b, 1 AS tol
   FROM d WHERE assigned_id IS NOT NULL AND len(list_distinct(cameras)) = 1 AND frame_range[1] IS NOT NULL AND frame_range[2] IS NOT NULL
-  UNION ALL
+  UNION
   SELECT 'time', run_id, assigned_id, '*', CAST(round(least(time_range[1], time_range[2]) * 1000) AS BIGINT), CAST(round(greatest(time_range[1], time_range[2]) * 1000) AS BIGINT), 1000
   FROM d WHERE assigned_id IS NOT NULL AND time_range[1] IS NOT NULL AND time_range[2] IS NOT NULL
 ), m AS (
@@ -70,9 +70,9 @@ SELECT clock, run_id, assigned_id, camera, min(a) AS period_from, max(b) AS peri
 P4_FOUND_SQL = """
 WITH f AS (SELECT * FROM frames QUALIFY row_number() OVER (PARTITION BY run_id, cam, frame_index ORDER BY received_at DESC) = 1),
 d AS (SELECT * FROM detections QUALIFY row_number() OVER (PARTITION BY det_id ORDER BY ingested_at DESC) = 1),
-t AS (SELECT d.run_id, d.cam, d.track_id, epoch_us(f.ts) AS us FROM d JOIN f ON d.run_id = f.run_id AND d.cam = f.cam AND d.frame_index = f.frame_index WHERE d.track_id IS NOT NULL AND f.ts IS NOT NULL),
-g AS (SELECT *, us - lag(us) OVER (PARTITION BY run_id, cam, track_id ORDER BY us) AS step FROM t),
-s AS (SELECT *, sum(CASE WHEN step IS NULL OR step > 30000000 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, cam, track_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS session FROM g)
+t AS (SELECT d.run_id, d.cam, d.track_id, epoch_us(f.ts) AS us, d.det_id FROM d JOIN f ON d.run_id = f.run_id AND d.cam = f.cam AND d.frame_index = f.frame_index WHERE d.track_id IS NOT NULL AND f.ts IS NOT NULL),
+g AS (SELECT *, us - lag(us) OVER (PARTITION BY run_id, cam, track_id ORDER BY us, det_id) AS step FROM t),
+s AS (SELECT *, sum(CASE WHEN step IS NULL OR step > 30000000 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, cam, track_id ORDER BY us, det_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
 SELECT run_id, cam, track_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n_detections FROM s GROUP BY run_id, cam, track_id, session"""
 
 QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods, "p4_found": p4_found}
