@@ -189,5 +189,5 @@ def per_shard(packed: DataFrame, cells: Cells, dim: int, work: Callable[[np.ndar
         if blocks:
             yield done(blocks)
 
-    spread = packed.repartition(max(1, len(cells.centres)), "shard").sortWithinPartitions("shard")
+    spread = packed.repartitionById(max(1, len(cells.centres)), F.col("shard")).sortWithinPartitions("shard")  # a shard, a task
     return spread.mapInArrow(run, schema)
