@@ -141,7 +141,16 @@ WITH c AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY cand
 d AS (SELECT DISTINCT decision_id, context FROM decisions),
 m AS (SELECT c.run_id, d.context, 'score' AS measure, c.score AS value FROM c JOIN d USING (decision_id) WHERE c.score BETWEEN -1 AND 1
   UNION ALL SELECT c.run_id, d.context, 'pair_similarity_to_best', c.pair_similarity_to_best FROM c JOIN d USING (decision_id) WHERE c.pair_similarity_to_best BETWEEN -1 AND 1)"""
+_VECTORS = """
+WITH RECURSIVE e AS (SELECT DISTINCT det_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM detections WHERE len(embedding) = 128 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+u AS (SELECT det_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM e WHERE list_dot_product(v, v) > 0)"""
 SQL: dict[str, str] = {
+    "p1_found": _VECTORS + " SELECT DISTINCT x.det_id AS det_a, y.det_id AS det_b FROM u x JOIN u y ON x.det_id < y.det_id WHERE list_dot_product(x.u, y.u) >= 0.97",
+    "p3_found": _VECTORS
+    + """, l AS (SELECT x.det_id AS a, y.det_id AS b FROM u x JOIN u y ON x.det_id < y.det_id WHERE list_dot_product(x.u, y.u) >= 0.76),
+both_ AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT det_id, det_id AS m FROM u UNION SELECT r.det_id, both_.b FROM r JOIN both_ ON r.m = both_.a),
+c AS (SELECT det_id, min(m) AS cluster_id, count(*) AS n FROM r GROUP BY det_id) SELECT cluster_id, det_id FROM c WHERE n >= 3""",
     "p5_found": """
 SELECT run_id, subject_handle, cand_id FROM (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY logged_at DESC) = 1) WHERE score BETWEEN -1 AND 1
 QUALIFY row_number() OVER (PARTITION BY run_id, subject_handle ORDER BY score DESC, handle DESC, cand_id DESC) <= 5""",
