@@ -157,6 +157,29 @@ def reconcile_rounds(spark, sf_dir):
     return rec.reconcile(obs(spark, sf_dir), CFG, DIM, run_limit=0)
 
 
+@query()
+def audit_same_camera(spark, sf_dir):
+    """Every tracklet's candidates in its camera, as the first phase sees them."""
+    from sightweave.operators.audit import audit
+
+    return audit(_single(spark, sf_dir), CFG, "same_camera").drop("candidates")
+
+
+@query()
+def audit_cross_camera(spark, sf_dir):
+    """Every tracklet's candidates over cameras in the first round."""
+    from sightweave.operators.audit import audit
+
+    return audit(_single(spark, sf_dir), CFG, "cross_camera").drop("candidates")
+
+
+@query(f"WITH {OBS} SELECT run_id, cam, track_id, 'suppressed' AS phase, observations FROM t WHERE observations < 3")
+def suppressed_records(spark, sf_dir):
+    from sightweave.operators.audit import suppressed_records as records
+
+    return records(trk.tracklets(obs(spark, sf_dir)), CFG).drop("gates_failed")
+
+
 @query()
 def sweep_grid(spark, sf_dir):
     from dataclasses import replace

@@ -112,3 +112,25 @@ def test_bad_camera_settings_are_ignored(bad):
 def test_good_camera_settings():
     assert camera_bars({"c1": {"same_camera_threshold": 0.8}, "c2": {"same_camera_threshold": 1}}) == {"c1": 0.8, "c2": 1.0}
     assert ReconcileConfig(scoring="nonsense").scoring == "prototype"
+
+
+def test_audit_tells_every_candidate_and_changes_nothing(spark):
+    from sightweave.operators.audit import audit, suppressed_records
+    from sightweave.operators.tracklets import tracklets
+
+    tracks = [("c1", 1, 0, A, 6), ("c1", 2, 3, A, 6), ("c1", 3, 100, at_cosine(0.95), 6), ("c1", 4, 200, B, 6), ("c2", 1, 0, A, 6), ("c2", 9, 500, C, 1)]
+    obs, cfg = scene(spark, tracks), ReconcileConfig()
+    before = {tuple(r) for r in rec.reconcile(obs, cfg, DIM).collect()}
+    members, _ = rec.cluster_tracklets(obs, cfg, DIM)
+    same = {r["handle"]: r for r in audit(members, cfg, "same_camera").collect()}
+    assert set(same) == {"U-0000", "U-0001", "U-0002", "U-0003"}  # the only track of c2 has no peers
+    first = {c["handle"]: c["excluded_by"] for c in same["U-0000"]["candidates"]}
+    assert first == {"U-0001": "TEMPORAL_CONFLICT_SAME_CAMERA", "U-0002": None, "U-0003": "BELOW_ABSOLUTE_THRESHOLD"}
+    assert same["U-0000"]["best_handle"] == "U-0002" and same["U-0000"]["eligible_count"] == 1 and same["U-0003"]["gates_failed"] == ["ABSOLUTE_THRESHOLD"]
+    assert same["U-0002"]["margin_eligible"] == 0.0 and not same["U-0002"]["candidates_truncated"]
+    cut = {r["handle"]: r for r in audit(members, cfg, "same_camera", max_candidates=1).collect()}
+    assert len(cut["U-0000"]["candidates"]) == 1 and cut["U-0000"]["candidates_truncated"] and cut["U-0000"]["scored_count"] == 3
+    cross = audit(members, cfg, "cross_camera").collect()
+    assert all(c["excluded_by"] for r in cross for c in r["candidates"])  # the reconcile has ended: nothing is left to merge
+    assert suppressed_records(tracklets(obs), cfg).count() == 1
+    assert {tuple(r) for r in rec.reconcile(obs, cfg, DIM).collect()} == before
