@@ -243,7 +243,7 @@ def bank_last_n(spark, sf_dir):
 
 @query(f"WITH {OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id, cam, track_id ORDER BY frame_index, det_id) - 1 AS i, count(*) OVER (PARTITION BY run_id, cam, track_id) AS n FROM obs), j AS (SELECT unnest(range(16)) AS j) SELECT DISTINCT run_id, cam, track_id, det_id FROM r, j WHERE n <= 16 OR i = round_even(j * ((n - 1) / 15.0), 0)::BIGINT")
 def even_subsample(spark, sf_dir):
-    return trk.even_rows(obs(spark, sf_dir), KEY, ["frame_index", "det_id"], 16).select(*KEY, "det_id")
+    return trk.even_rows(obs(spark, sf_dir), KEY, ["frame_index", "det_id"], CFG.cap).select(*KEY, "det_id")
 
 
 @query(f"WITH {OBS} SELECT det_id, round(list_dot_product(u, lag(u) OVER (PARTITION BY run_id, cam, track_id ORDER BY frame_index, det_id)), 6) AS drift FROM obs")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from sightweave.functions import scoring
 from sightweave.functions.vectors import dot, prototypes, unit
 from sightweave.operators import tracklets as trk
-from sightweave.operators.pairs import nearest_exact, set_score, similar_pairs
+from sightweave.operators.pairs import nearest_exact, similar_pairs
 from sightweave.operators.rerank import reranked
 from sightweave.plans.identity import CFG, DIM, OBS, PROTO, obs
 from sightweave.session import table
@@ -73,14 +73,17 @@ def bank_score(spark, sf_dir):
     return newest.join(prototypes(bank, ["run_id", "gid"], "unit_vector", DIM), ["run_id", "gid"]).join(best, ["run_id", "gid"]).select("run_id", "gid", F.round(F.greatest("best", dot(F.col("q"), F.col("prototype"))), 6).alias("score"))
 
 
-def _set_scores(spark, sf_dir, mode):
-    """Each track against the next of its camera by start, on at most 16 even rows a side."""
-    rows = trk.even_rows(obs(spark, sf_dir), trk.KEY, ["frame_index", "det_id"], 16)
-    lists = rows.groupBy(*trk.KEY).agg(F.min("frame_index").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "det_id", "unit_vector"))), lambda x: x["unit_vector"]).alias("rows"))
-    by = Window.partitionBy("run_id", "cam").orderBy("first", "track_id")
-    pairs = lists.withColumn("track_b", F.lead("track_id").over(by)).withColumn("other", F.lead("rows").over(by)).filter("other is not null")
-    score = F.pandas_udf(lambda a, b: pd.Series([set_score(np.stack(x), np.stack(y), mode, 0.25) for x, y in zip(a, b)]), "double")
-    return pairs.select("run_id", "cam", F.col("track_id").alias("track_a"), "track_b", F.round(score("rows", "other"), 6).alias("score"))
+def set_scores(observations, mode):
+    """Every two tracks of a camera whose spans are disjoint, on at most CFG.cap even rows a side, as the reconcile scores them."""
+    tracks = trk.with_prototypes(observations, DIM, 1)
+    rows = trk.even_rows(observations, trk.KEY, ["frame_index", "det_id"], CFG.cap)
+    lists = rows.groupBy(*trk.KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "det_id", "unit_vector"))), lambda x: x["unit_vector"]).alias("rows"))
+    keyed = tracks.join(lists, trk.KEY).withColumn("group", F.struct("run_id", "cam"))
+    pairs = similar_pairs(keyed, "group", "track_id", "prototype", -2.0, block=512, rows="rows", mode=mode, top_frac=CFG.top_frac)  # no cosine is under the bar
+    spans = lambda n, i: tracks.select("run_id", "cam", F.col("track_id").alias(n), F.col("first_frame").alias(f"s{i}"), F.col("last_frame").alias(f"e{i}"))
+    flat = pairs.select("group.run_id", "group.cam", F.col("a").alias("track_a"), F.col("b").alias("track_b"), "score")
+    free = flat.join(spans("track_a", 1), ["run_id", "cam", "track_a"]).join(spans("track_b", 2), ["run_id", "cam", "track_b"]).filter("e1 < s2 or e2 < s1")
+    return free.select("run_id", "cam", "track_a", "track_b", F.round("score", 6).alias("score"))
 
 
 _SETS = (
@@ -94,12 +97,12 @@ pr AS (SELECT nx.*, list_dot_product(x.u, y.u) AS d FROM nx JOIN s x ON x.run_id
 
 @query(f"WITH {_SETS} SELECT run_id, cam, track_a, track_b, round(max(d), 6) AS score FROM pr GROUP BY ALL")
 def score_max_exemplar(spark, sf_dir):
-    return _set_scores(spark, sf_dir, "max_exemplar")
+    return set_scores(obs(spark, sf_dir), "max_exemplar")
 
 
 @query(f"WITH {_SETS}, k AS (SELECT *, row_number() OVER (PARTITION BY run_id, cam, track_a ORDER BY d DESC) AS p, greatest(1, round_even(count(*) OVER (PARTITION BY run_id, cam, track_a) * 0.25, 0)) AS k FROM pr) SELECT run_id, cam, track_a, track_b, round(avg(d), 6) AS score FROM k WHERE p <= k GROUP BY ALL")
 def score_consensus(spark, sf_dir):
-    return _set_scores(spark, sf_dir, "consensus")
+    return set_scores(obs(spark, sf_dir), "consensus")
 
 
 @query(
