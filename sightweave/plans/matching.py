@@ -203,22 +203,33 @@ def failure_modes(spark, sf_dir):
 
 
 def medoids(pdf: pd.DataFrame, bar: float = 0.75, most: int = 6) -> pd.DataFrame:
-    """Views of one track: greedy groups seeded by total similarity, each with its medoid."""
+    """Views of one track: rows by total similarity join their nearest seed or, below the bar, become one while there are fewer than most; each view with its medoid."""
     pdf = pdf.sort_values(["frame_index", "det_id"]).reset_index(drop=True)
     u = np.stack(pdf["unit_vector"].to_numpy())
-    s = u @ u.T
-    free, out = np.ones(len(u), bool), []
-    for i in np.argsort(-s.sum(1), kind="stable"):
-        if len(out) == most or not free[i]:
-            continue
-        group = np.flatnonzero(free & (s[i] >= bar))
-        free[group] = False
-        out.append((pdf["run_id"][0], pdf["cam"][0], pdf["track_id"][0], len(out), int(pdf["det_id"][group[s[np.ix_(group, group)].sum(1).argmax()]]), len(group)))
+    # The sum of a row's similarities is its product with the sum of rows, so no square matrix is made.
+    order = np.argsort(-np.round(u @ u.sum(0), 9), kind="stable")
+    v = u[order]
+    view, best, seed, n = np.zeros(len(v), int), np.full(len(v), -np.inf), 0, 0
+    while True:
+        s = v[seed:] @ v[seed]
+        s[0] = np.inf  # a seed stays in its own view
+        nearer = s > best[seed:]
+        view[seed:][nearer], best[seed:][nearer] = n, s[nearer]
+        n += 1
+        far = np.flatnonzero(best[seed:] < bar)
+        if n == most or not len(far):
+            break
+        seed += far[0]
+    out = []
+    for i in range(n):
+        group = np.sort(order[view == i])
+        total = np.round(u[group] @ u[group].sum(0), 9)
+        out.append((pdf["run_id"][0], pdf["cam"][0], pdf["track_id"][0], i, int(pdf["det_id"][group[total.argmax()]]), len(group)))
     return pd.DataFrame(out, columns=["run_id", "cam", "track_id", "view", "medoid", "members"])
 
 
 @query()
 def medoid_views(spark, sf_dir):
-    """At most six views of each track, on at most 64 even rows of it."""
-    rows = trk.even_rows(obs(spark, sf_dir), trk.KEY, ["frame_index", "det_id"], 64)
+    """At most six views of each track, over all its rows."""
+    rows = obs(spark, sf_dir)
     return rows.select(*trk.KEY, "det_id", "frame_index", "unit_vector").groupBy(*trk.KEY).applyInPandas(lambda pdf: medoids(pdf), "run_id string, cam string, track_id long, view int, medoid long, members int")

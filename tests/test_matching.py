@@ -49,3 +49,29 @@ def test_even_subsample_takes_as_many_rows_as_the_reconcile(spark, tmp_path):
     tracks(spark, tmp_path, [70, 40])
     got = {r["det_id"] for r in even_subsample(spark, str(tmp_path)).collect()}
     assert got == {*np.linspace(0, 69, 64).round().astype(int).tolist(), *range(70, 110)}
+
+
+def views(u, bar=0.75, most=6):
+    """Row by row: nearest seed so far, or a new one; medoid and size of each view."""
+    s = u @ u.T
+    seeds, assign = [], np.full(len(u), -1)
+    for i in np.argsort(-np.round(s.sum(1), 9), kind="stable"):
+        near = [s[i, k] for k in seeds]
+        if seeds and (max(near) >= bar or len(seeds) == most):
+            assign[i] = int(np.argmax(near))
+        else:
+            assign[i] = len(seeds)
+            seeds.append(i)
+    groups = [np.flatnonzero(assign == c) for c in range(len(seeds))]
+    return [(c, int(g[np.round(s[np.ix_(g, g)].sum(1), 9).argmax()]), len(g)) for c, g in enumerate(groups)]
+
+
+@pytest.mark.parametrize("noise", [0.3, 0.6, 1.2])
+def test_medoid_views_of_long_tracks(spark, tmp_path, noise):
+    """Tracks of over 64 rows and over six views: every row is in a view."""
+    sets, _ = tracks(spark, tmp_path, [150, 64, 1, 90], noise)
+    first = {t: sum(len(sets[k]) for k in range(t)) for t in sets}
+    got = sorted((r["track_id"], r["view"], r["medoid"] - first[r["track_id"]], r["members"]) for r in m.medoid_views(spark, str(tmp_path)).collect())
+    assert got == [(t, *v) for t in sets for v in views(sets[t])]
+    assert {t: sum(g[3] for g in got if g[0] == t) for t in sets} == {t: len(u) for t, u in sets.items()}
+    assert noise < 1 or max(g[1] for g in got) == 5
