@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,3 +99,47 @@ def nearest_exact(queries: DataFrame, base: DataFrame, item: str, vector: str, k
     part = left.unionByName(right).groupBy("x", "y").applyInArrow(best, "query long, other long, score double")
     place = Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "other")
     return part.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
+
+
+def best_labels(queries: DataFrame, base: DataFrame, item: str, vector: str, label: str, block: int = 8192) -> DataFrame:
+    """query, label, score, second: each query's best label and the score of its second, exactly (ties: the larger label).
+
+    A label's score is that of its most similar vector other than the query itself. Blocks meet as in
+    nearest_exact; each returns its two best labels of a query, which is enough: in the block that
+    gives a label its score, only labels of a higher score can stand before it. Any number of labels
+    costs no more rows. Scores count to twelve places; second is null where there is one label.
+    """
+    kind = next(f.dataType for f in base.schema if f.name == label)
+    q = queries.select(F.col(item).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).dropna()
+    b = base.select(F.col(item).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("l")).dropna(subset=["i", "v"])
+    n_base, n_query = (max(1, -(-x.count() // block)) for x in (b, q))
+    left = q.select("*", F.lit(None).cast(kind).alias("l"), F.lit(0).alias("side"), F.pmod(F.xxhash64("i"), F.lit(n_query)).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(n_base - 1))).alias("y"))
+    right = b.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("x"), F.pmod(F.xxhash64("i"), F.lit(n_base)).cast("int").alias("y"))
+
+    def best(t: pa.Table) -> pa.Table:
+        ids, side = t.column("i").to_numpy(), t.column("side").to_numpy()
+        v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        labels = t.column("l").combine_chunks()
+        p, c = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        # Columns by label, the largest first and null last, as ties go.
+        c = c[pc.sort_indices(labels.take(pa.array(c)), sort_keys=[("", "descending")], null_placement="at_end").to_numpy()] if len(c) else c
+        codes = labels.take(pa.array(c)).dictionary_encode(null_encoding="encode").indices.to_numpy() if len(c) else c
+        at = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(c) else c
+        for s in range(0, len(p) if len(c) else 0, 512):
+            rows = p[s : s + 512]
+            sim = np.round(v[rows] @ v[c].T, 12)
+            sim[ids[rows][:, None] == ids[c][None, :]] = -np.inf
+            each = np.maximum.reduceat(sim, at, axis=1)
+            top = np.argsort(-each, axis=1, kind="stable")[:, :2]
+            got = np.take_along_axis(each, top, 1)
+            keep = np.isfinite(got)
+            out = [np.append(o, n) for o, n in zip(out, (np.repeat(ids[rows], keep.sum(1)), c[at[top[keep]]], got[keep]))]
+        return pa.table({"query": out[0], "label": labels.take(pa.array(out[1])), "score": out[2]})
+
+    from pyspark.sql.window import Window
+
+    schema = T.StructType([T.StructField("query", T.LongType()), T.StructField("label", kind), T.StructField("score", T.DoubleType())])
+    part = left.unionByName(right).groupBy("x", "y").applyInArrow(best, schema).groupBy("query", "label").agg(F.max("score").alias("score"))
+    by = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("label"))
+    return part.withColumn("second", F.lead("score").over(by)).withColumn("place", F.row_number().over(by)).filter("place = 1").drop("place")

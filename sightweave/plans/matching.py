@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from sightweave.functions import scoring
 from sightweave.functions.vectors import dot, prototypes, unit
 from sightweave.operators import tracklets as trk
-from sightweave.operators.pairs import nearest_exact, similar_pairs
+from sightweave.operators.pairs import best_labels, nearest_exact, similar_pairs
 from sightweave.operators.rerank import reranked
 from sightweave.plans.identity import CFG, DIM, OBS, PROTO, obs
 from sightweave.session import table
@@ -130,16 +130,8 @@ def match_or_mint(spark, sf_dir):
     """Match or mint each query vector: the best identity over the bar and clear of the second (ties: the larger id)."""
     g = gallery(spark, sf_dir)
     base = g.filter("vec_id % 20 <> 0")
-    labels = base.select(F.col("vec_id").alias("other"), "label")
-    # One exact pass gives the best of every label, as each label is searched on its own.
-    per_label = None
-    for row in base.select("label").distinct().orderBy("label").limit(1000).collect():
-        near = nearest_exact(g.filter("vec_id % 20 = 0"), base.filter(F.col("label") == row[0]), "vec_id", "u", 1)
-        per_label = near if per_label is None else per_label.unionByName(near)
-    scored = per_label.join(labels, "other").withColumn("s", F.round("score", 12))
-    by = Window.partitionBy("query").orderBy(F.desc("s"), F.desc("label"))
-    ranked = scored.withColumn("second", F.lead("s").over(by)).withColumn("r", F.row_number().over(by)).filter("r = 1")
-    return ranked.select("query", F.col("label").alias("best_label"), F.round("s", 6).alias("best"), ((F.col("s") >= 0.3) & (F.col("s") - F.coalesce("second", F.lit(-1.0)) >= 0.03)).alias("accepted"))
+    best = best_labels(g.filter("vec_id % 20 = 0"), base, "vec_id", "u", "label")
+    return best.select("query", F.col("label").alias("best_label"), F.round("score", 6).alias("best"), ((F.col("score") >= 0.3) & (F.col("score") - F.coalesce("second", F.lit(-1.0)) >= 0.03)).alias("accepted"))
 
 
 @query()

@@ -75,3 +75,28 @@ def test_medoid_views_of_long_tracks(spark, tmp_path, noise):
     assert got == [(t, *v) for t in sets for v in views(sets[t])]
     assert {t: sum(g[3] for g in got if g[0] == t) for t in sets} == {t: len(u) for t, u in sets.items()}
     assert noise < 1 or max(g[1] for g in got) == 5
+
+
+def test_match_or_mint_knows_every_label(spark, tmp_path):
+    """1,200 identities, the best and second of many queries beyond the thousandth."""
+    rng = np.random.RandomState(8)
+    people = rng.randn(1200, DIM)
+    label = np.concatenate([np.arange(1200), rng.randint(900, 1200, 300)])
+    v = (people[label] + 0.5 * rng.randn(len(label), DIM)).astype(np.float32)
+    spark.createDataFrame([(i, x.tolist(), int(k)) for i, (x, k) in enumerate(zip(v, label))], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    base = np.flatnonzero(np.arange(len(u)) % 20)
+    want = {}
+    for q in range(0, len(u), 20):
+        each = {}
+        for k, s in zip(label[base], u[base] @ u[q]):
+            each[int(k)] = max(each.get(int(k), -2), s)
+        (s, k), (second, _) = sorted(((s, k) for k, s in each.items()), reverse=True)[:2]
+        want[q] = (k, round(s, 5), s >= 0.3 and s - second >= 0.03)
+    assert any(k >= 1000 and ok for k, _, ok in want.values())
+    got = {r["query"]: (r["best_label"], round(r["best"], 5), r["accepted"]) for r in m.match_or_mint(spark, str(tmp_path)).collect()}
+    assert {q: (g[0], g[2]) for q, g in got.items()} == {q: (w[0], w[2]) for q, w in want.items()}
+    assert all(abs(got[q][1] - want[q][1]) < 2e-5 for q in want)
+    g = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    one, many = (sorted(map(tuple, m.best_labels(g.filter("vec_id % 20 = 0"), g, "vec_id", "embedding", "label", block=b).select("query", "label").collect())) for b in (8192, 200))
+    assert one == many and len(one) == 75
