@@ -31,13 +31,13 @@ def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("det_id"), F.col("other_id").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
 
 
-def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_clusters(table(spark, sf_dir, "detections"), "det_id", "embedding", DIM, LINK)
+def _clusters(spark: SparkSession, sf_dir: str, typical: bool = True) -> DataFrame:
+    return similarity_clusters(table(spark, sf_dir, "detections"), "det_id", "embedding", DIM, LINK, typical=typical)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of clusters of three or more."""
-    return _clusters(spark, sf_dir).filter("size >= 3").select("cluster_id", F.col("vec_id").alias("det_id"))
+    return _clusters(spark, sf_dir, typical=False).filter("size >= 3").select("cluster_id", F.col("vec_id").alias("det_id"))
 
 
 def p3_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
