@@ -2,26 +2,30 @@
 
 Each shard inserts its vectors batch by batch: a greedy beam search over the graph so far proposes
 neighbours, relaxed pruning (an edge goes only if a kept neighbour is nearer to its end by the
-factor alpha) keeps diverse ones, and reverse edges are added under the same rule. Then every vector
-of the shard is searched by a beam. Vectors searched together are neighbours in the insertion order,
-so their beams share one frontier: a node reached by one of them is scored for all in one product.
+factor alpha) keeps diverse ones, and reverse edges are added under the same rule. A vector is
+indexed in one shard and searched by a beam in every shard within a margin, which is set by the true
+neighbours of some vectors; the answers of the shards are merged. Vectors searched together are
+neighbours in the insertion order, so their beams share one frontier: a node reached by one of them
+is scored for all in one product.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sightweave.llm.shards import Cells, fit_cells, keys_of, per_shard, to_shards, unit, usable
+from sightweave.llm.shards import fit_cells, hot_copies, keys_of, per_shard, to_shards, unit, usable
 
 #: Out-degree after pruning and at most; beam of build and search; nodes a query expands at once; candidates pruned; relaxation; vectors searched together.
 DEGREE, DEGREE_MAX, BEAM, WIDTH, CANDIDATES, ALPHA, BATCH = 10, 20, 24, 8, 20, 1.2, 256
-#: Entry points: a vector less similar than this to all of them becomes one, up to the count.
-ENTRY_BAR, ENTRIES = 0.7, 1024
+#: Entry points: a vector less similar than this to all of them becomes one, up to the count or this part of the shard, whichever is more.
+ENTRY_BAR, ENTRIES, SHARE = 0.7, 1024, 8
 
 
 class Graph:
@@ -36,13 +40,12 @@ class Graph:
         self._insert_all()
 
     def _entries(self) -> None:
-        """Entry points cover the shard: every vector is near one, unless there would be over ENTRIES."""
+        """Entry points taken in a mixed order cover the shard; if they'd be over a share of it, the vectors left are reached by edges alone."""
         u, n = self.u, len(self.u)
-        entries: list[int] = []
+        limit, entries = max(ENTRIES, n // SHARE), []
+        mixed = np.random.RandomState(3).permutation(n)
         for s in range(0, n, 512):
-            block = np.arange(s, min(s + 512, n))
-            if len(entries) >= ENTRIES:
-                break
+            block = mixed[s : s + 512]
             far = block if not entries else block[(u[block] @ u[entries].T).max(1) < ENTRY_BAR]
             if not len(far):
                 continue
@@ -52,16 +55,22 @@ class Graph:
                 if open_[i]:
                     entries.append(int(far[i]))
                     open_ &= ~g[i]
-        self.entries = np.array(entries[:ENTRIES])
-        best = np.empty(n, np.int64)
-        near = np.empty(n, np.float32)
-        for s in range(0, n, 4096):
-            sim = u[s : s + 4096] @ u[self.entries].T
+            if len(entries) >= limit:
+                break
+        self.entries = np.array(entries[:limit])
+        self.home, near = self.entry(u)
+        near[self.entries] = 2
+        self.home[self.entries] = self.entries
+        self.order = np.lexsort((-near, self.home))
+
+    def entry(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest entry point of each vector and its cosine."""
+        best, near = np.empty(len(q), np.int64), np.empty(len(q), np.float32)
+        for s in range(0, len(q), 4096):
+            sim = q[s : s + 4096] @ self.u[self.entries].T
             best[s : s + 4096] = sim.argmax(1)
             near[s : s + 4096] = sim.max(1)
-        near[self.entries] = 2
-        self.home = self.entries[best]
-        self.order = np.lexsort((-near, best))
+        return self.entries[best], near
 
     def _insert_all(self) -> None:
         u = self.u
@@ -176,115 +185,121 @@ class Graph:
             top = np.concatenate([top, np.broadcast_to(near[useful], (len(q), int(useful.sum())))], 1)
             sims = np.concatenate([sims, new[:, useful]], 1)
 
-    def nearest_of_all(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest others of every vector; -1 fills up."""
-        n = len(self.u)
+    def nearest(self, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest others of each of these vectors of the graph; -1 fills up."""
+        return self._beams(self.u[rows], self.home[rows], rows, k)
+
+    def nearest_to(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of each vector from outside."""
+        return self._beams(q, self.entry(q)[0], None, k)
+
+    def _beams(self, q: np.ndarray, home: np.ndarray, own: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(q)
         ids, sims = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf, np.float32)
         beam = max(BEAM, 2 * k)
+        order = np.argsort(home, kind="stable")
         for s in range(0, n, BATCH):
-            own = self.order[s : s + BATCH]
-            top, sim = self.search(self.u[own], np.unique(np.append(own, self.home[own])), beam)
-            sim = np.where(top == own[:, None], -np.inf, sim)
+            rows = order[s : s + BATCH]
+            start = home[rows] if own is None else np.append(own[rows], home[rows])
+            top, sim = self.search(q[rows], np.unique(start), beam)
+            if own is not None:
+                sim = np.where(top == own[rows][:, None], -np.inf, sim)
             at = np.argsort(-sim, axis=1, kind="stable")[:, :k]
             top, sim = np.take_along_axis(top, at, 1), np.take_along_axis(sim, at, 1)
-            ids[own, : top.shape[1]] = np.where(np.isfinite(sim), top, -1)
-            sims[own, : top.shape[1]] = sim
+            ids[rows, : top.shape[1]] = np.where(np.isfinite(sim), top, -1)
+            sims[rows, : top.shape[1]] = sim
         return ids, sims
 
 
-def exact_cosine(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of pairs of raw rows in double precision."""
-    scale = np.abs(x).max(1).astype(np.float64)
-    norm = np.array([np.sqrt(np.square(c.astype(np.float64) / s[:, None]).sum(1)) for c, s in ((x, scale),)])[0]
-    out = np.empty(len(a))
-    for s in range(0, len(a), 65536):
-        i, j = a[s : s + 65536], b[s : s + 65536]
-        dot = np.einsum("nd,nd->n", x[i].astype(np.float64) / scale[i, None], x[j].astype(np.float64) / scale[j, None])
-        out[s : s + 65536] = dot / norm[i] / norm[j]
+def exact_cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of raw rows, pair by pair, in double precision."""
+    out = np.empty(len(x))
+    for s in range(0, len(x), 65536):
+        a, b = unit(x[s : s + 65536], np.float64), unit(y[s : s + 65536], np.float64)
+        out[s : s + 65536] = np.einsum("nd,nd->n", a, b)
     return out
 
 
 PAIRS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("other_id", T.LongType()), T.StructField("cosine", T.DoubleType())])
 
 
-def shard_pairs(ids: np.ndarray, x: np.ndarray, k: int, floor: float) -> pa.RecordBatch:
-    """vec_id, other_id, cosine of the k nearest of every row of a shard with a cosine of at least floor."""
-    # Copies stand once in the graph; each answers for the others.
-    _, first, back = np.unique(keys_of(x), return_index=True, return_inverse=True)
-    graph = Graph(unit(x[first]))
-    near, sims = graph.nearest_of_all(k)
-    row, col = np.nonzero((near >= 0) & (sims >= floor - 1e-4))
-    a, b = row, near[row, col]
-    cos = exact_cosine(x, first[a], first[b])
-    count = np.bincount(back, minlength=len(first))
-    if count.max(initial=1) > 1:
-        multi = np.flatnonzero(count > 1)
-        a, b, cos = np.append(a, multi), np.append(b, multi), np.append(cos, np.ones(len(multi)))
-    members = np.lexsort((ids, back))
-    at = np.append(0, np.cumsum(count))
-    take = np.minimum(count[b], k + 1)  # of many copies the smallest ids suffice
-    other = members[np.repeat(at[b], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)]
-    a, cos = np.repeat(a, take), np.repeat(cos, take)
-    if count.max(initial=1) > 1:
-        order = np.lexsort((ids[other], -cos, a))  # at most k + 1 are needed for any copy of a
-        a, other, cos = a[order], other[order], cos[order]
-        begin = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
-        keep = np.arange(len(a)) - np.repeat(begin, np.diff(np.append(begin, len(a)))) < k + 1
-        a, other, cos = a[keep], other[keep], cos[keep]
-    times = count[a]
-    mine = members[np.repeat(at[a], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-    other, cos = np.repeat(other, times), np.repeat(cos, times)
-    good = (ids[mine] != ids[other]) & (cos >= floor)
-    return pa.RecordBatch.from_arrays([pa.array(ids[mine][good]), pa.array(ids[other][good]), pa.array(cos[good])], names=["vec_id", "other_id", "cosine"])
+def _runs(at: np.ndarray, take: np.ndarray) -> np.ndarray:
+    """at[i], at[i] + 1, .. for each i, take[i] of them."""
+    return np.repeat(at - np.cumsum(take) + take, take) + np.arange(take.sum())
 
 
-def hot_copies(vectors: DataFrame, cells: Cells, dim: int, k: int) -> tuple[DataFrame, DataFrame] | None:
-    """Of hot groups of copies: the rows that stay in the index (the k + 1 smallest ids), and the answers of the others.
+def shard_pairs(ids: np.ndarray, x: np.ndarray, ask: np.ndarray, guest: np.ndarray, k: int, floor: float) -> pa.RecordBatch:
+    """vec_id, other_id, cosine of the k nearest of every asking row among those at home, with a cosine of at least floor.
 
-    None if there are none. Over HOT_SHARE of the rows are copies, so at most 1 / HOT_SHARE groups.
+    With a floor a guest's pairs are given both ways, so that either end may find the other.
     """
-    if not len(cells.hot):
-        return None
-    hot = cells.hot
-
-    def keep(batches):
-        from sightweave.llm.shards import matrix
-
-        for batch in batches:
-            ids, x = matrix(batch, dim)
-            key = keys_of(x)
-            at = np.isin(key, hot)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(key[at].view(np.int64)), pa.array(list(x[at]), pa.list_(pa.float32()))], names=["vec_id", "key", "vector"])
-
-    rows = vectors.select("vec_id", "vector").mapInArrow(keep, "vec_id long, key long, vector array<float>")
-    ids = rows.select("key", "vec_id").distinct()
-    least = ids.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
-    kept = rows.join(F.broadcast(least.select("key", "vec_id")), ["key", "vec_id"]).dropDuplicates(["key", "vec_id"]).select("vec_id", "vector")
-    others = ids.join(F.broadcast(least.select("key", F.col("vec_id").alias("other_id"), "place")), "key").filter((F.col("vec_id") != F.col("other_id")))
-    place = Window.partitionBy("key", "vec_id").orderBy("other_id")
-    answers = others.withColumn("p", F.row_number().over(place)).filter(F.col("p") <= k).select("vec_id", "other_id", F.lit(1.0).alias("cosine"))
-    return kept, answers
+    home = np.flatnonzero(~guest)
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if len(home):
+        # Copies stand once in the graph; each answers for the others.
+        _, first, back = np.unique(keys_of(x[home]), return_index=True, return_inverse=True)
+        first, count = home[first], np.bincount(back)
+        members, at = home[np.lexsort((ids[home], back))], np.append(0, np.cumsum(count))
+        graph = Graph(unit(x[first]))
+        asked = np.flatnonzero(np.bincount(back, ask[home], len(first)) > 0)
+        strangers = np.flatnonzero(guest)
+        for own, near_sims in ((True, graph.nearest(asked, k)), (False, graph.nearest_to(unit(x[strangers]), k)) if len(strangers) else (False, None)):
+            if near_sims is None:
+                continue
+            near, sims = near_sims
+            row, col = np.nonzero((near >= 0) & (sims >= floor - 1e-4))
+            a, b = (asked if own else strangers)[row], near[row, col]
+            cos = exact_cosine(x[first[a] if own else a], x[first[b]])
+            if own and (multi := asked[count[asked] > 1]).size:
+                a, b, cos = np.append(a, multi), np.append(b, multi), np.append(cos, np.ones(len(multi)))
+            take = np.minimum(count[b], k + 1)  # of many copies the smallest ids suffice
+            other = members[_runs(at[b], take)]
+            a, cos = np.repeat(a, take), np.repeat(cos, take)
+            if count.max(initial=1) > 1:
+                order = np.lexsort((ids[other], -cos, a))  # at most k + 1 are needed for any copy of a
+                a, other, cos = a[order], other[order], cos[order]
+                begin = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
+                keep = np.arange(len(a)) - np.repeat(begin, np.diff(np.append(begin, len(a)))) < k + 1
+                a, other, cos = a[keep], other[keep], cos[keep]
+            if own:
+                times = count[a]
+                mine, other, cos = members[_runs(at[a], times)], np.repeat(other, times), np.repeat(cos, times)
+            else:
+                mine = a
+            good = (ids[mine] != ids[other]) & (cos >= floor) & ask[mine]
+            parts.append((ids[mine][good], ids[other][good], cos[good]))
+            if not own and floor > 0:
+                good = (ids[mine] != ids[other]) & (cos >= floor) & ask[other]
+                parts.append((ids[other][good], ids[mine][good], cos[good]))
+    cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["vec_id", "other_id", "cosine"])
 
 
-def nearest_vectors(df: DataFrame, vec_id: str, vector: str, dim: int, k: int = 10, floor: float = -1.0, shard_rows: int | None = None) -> DataFrame:
+def nearest_vectors(df: DataFrame, vec_id: str, vector: str, dim: int, k: int = 10, floor: float = -1.0, shard_rows: int | None = None, queries: Column | None = None) -> DataFrame:
     """vec_id, other_id, cosine: of every usable vector the k others with the highest cosine of at least floor.
 
     Usable is a vector of dim finite numbers that aren't all zero, with a non-null id; other rows are
     left out. A row sent again counts once; an id with several different vectors has all of them and
-    takes the highest cosine. Equal cosines are ordered by the smaller id. Lengths don't matter. An
-    empty table gives an empty result; other columns are ignored. The cosine is exact; which vectors
-    are found is approximate (see the README for measured recall).
+    takes the highest cosine. Equal cosines are ordered by the smaller id. Lengths don't matter. With
+    queries (a condition on df, null is no) only those rows are answered, against all. An empty table
+    gives an empty result; other columns are ignored. The cosine is exact; which vectors are found is
+    approximate (see the README for measured recall).
     """
+    size = {"shard_rows": shard_rows} if shard_rows else {}
     vectors = usable(df, vec_id, vector, dim)
-    cells = fit_cells(vectors, dim, **({"shard_rows": shard_rows} if shard_rows else {}))
-    packed = to_shards(vectors, cells, dim)
-    hot = hot_copies(vectors, cells, dim, k)
+    cells = fit_cells(vectors, dim, k=k, floor=floor, **size)
+    asking = vectors if queries is None else usable(df.withColumn("_ask", F.coalesce(queries, F.lit(False))), vec_id, vector, dim, "_ask")
+    packed = to_shards(asking, cells, dim)
+    hot = hot_copies(vectors if queries is None else asking, cells, dim, k + 1)
     if hot:
-        cold = Cells(cells.centres, np.zeros(0, np.uint64), cells.rows)
-        packed = packed.unionByName(to_shards(hot[0], cold, dim))
-    found = per_shard(packed, cells, dim, lambda ids, x: shard_pairs(ids, x, k, floor), PAIRS)
+        cold = replace(cells, hot_keys=np.zeros(0, np.uint64))
+        packed = packed.unionByName(to_shards(hot[0].select("vec_id", "vector", "ask"), cold, dim))
+    found = per_shard(packed, cells, dim, lambda ids, x, ask, guest: shard_pairs(ids, x, ask, guest, k, floor), PAIRS)
     if hot:
-        found = found.unionByName(hot[1].filter(F.col("cosine") >= floor))
+        # The copies beyond those kept: their nearest are the smallest ids of their group.
+        kept = F.broadcast(hot[0].select("group", F.col("vec_id").alias("other_id")))
+        rest = hot[1].filter("ask").join(F.broadcast(hot[0].select("vec_id").distinct()), "vec_id", "left_anti").join(kept, "group")
+        found = found.unionByName(rest.select("vec_id", "other_id", F.lit(1.0).alias("cosine")).filter(F.lit(floor <= 1)))
     best = found.groupBy("vec_id", "other_id").agg(F.max("cosine").alias("cosine"))
     place = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "other_id")
     return best.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k).drop("place")

@@ -27,8 +27,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar detections of every twentieth id, against all."""
-    near = nearest_vectors(table(spark, sf_dir, "detections"), "det_id", "embedding", DIM, NEIGHBOURS)
-    return near.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("det_id"), F.col("other_id").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
+    near = nearest_vectors(table(spark, sf_dir, "detections"), "det_id", "embedding", DIM, NEIGHBOURS, queries=F.col("det_id") % 20 == 0)
+    return near.select(F.col("vec_id").alias("det_id"), F.col("other_id").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
 
 
 def _clusters(spark: SparkSession, sf_dir: str, typical: bool = True) -> DataFrame:
