@@ -115,8 +115,9 @@ def test_residue_is_found_and_talk_about_it_is_not(spark):
     rows = [(i, rng.choice(RESIDUE) if i % 5 == 0 else rng.choice([*TALK, prose(), prose(), prose()]), None, f"s{i % 7}") for i in range(800)]
     rows += [(10_000 + k, t, None, "s1") for k, t in enumerate(TALK)] + [(20_000 + k, t, "A title", "s2") for k, t in enumerate(RESIDUE)] + [(None, "404 Not Found", None, None), (30_000, " ".join(prose() for _ in range(20_000)), None, "s1")]
     docs = residue.prepared(spark.createDataFrame(rows, "doc_id long, text string, title string, source string"), "doc_id", "text", "title", "source", None)
-    model = residue.train(docs)
+    model = residue.train(docs, validate=True)
     assert model.report["unseen_precision"] > 0.9 and model.report["unseen_recall"] > 0.9
+    assert model.report["held_back_rows"] > 0
     got = {r["doc_id"] for r in residue.residue_paragraphs(docs, model).collect()}
     assert {20_000 + k for k in range(len(RESIDUE))} <= got
     assert got & {10_000 + k for k in range(len(TALK))} == set() and 30_000 not in got
@@ -127,3 +128,23 @@ def test_training_without_cases(spark):
     model = residue.train(docs)
     assert residue.residue_paragraphs(docs, model).count() == 0
     assert residue.residue_paragraphs(docs.limit(0), residue.train(docs.limit(0))).count() == 0
+
+
+def test_fences_are_paired_in_order():
+    p = residue.paragraphs
+    assert p("Before ```\n404 Not Found\n``` after.\n\nTail.") == ["Before ", " after.", "Tail."]
+    assert p("Use `<pre>` for it.\n\nSecond.\n\nThird.") == ["Use  @code@  for it.", "Second.", "Third."]
+    assert p("A\n\n```\nopen and never closed\n\nRest.") == ["A", "Rest."]
+    assert p("<pre>a\n\nb</pre>\n\nRest.") == ["Rest."] and p("<code>open\n\nRest.") == ["Rest."]
+    assert p("> quoted\n> more\n\n    code\n\nplain") == ["plain"]
+
+
+def test_batch_scores_equal_single_ones():
+    words = residue.Words()
+    got = residue.read(["One two three.\n\nTwo two {{ x }}!", None, "", "A b c d e."], ["One", None, "t", None], [False, True, False, True], words)
+    rng = np.random.RandomState(3)
+    model = residue.Model(rng.randn(residue.WIDTH), 0.1, {})
+    two, own_two, three, own_three = got.grams(words)
+    ends = np.append(got.begin, len(got.flat))
+    rows = [np.concatenate([*[words.pieces[t] for t in got.flat[ends[i] : ends[i + 1]]], two[own_two == i], three[own_three == i], got.shape[i]]) for i in range(len(got.plain))]
+    assert len(rows) == 3 and np.allclose(model.score(rows), model.score_batch(got, words, [np.zeros(0), np.zeros(0)]))
