@@ -67,16 +67,15 @@ class Packer:
         """The window that takes the item: the level that leaves the least sum of squared counts (ties: the fullest)."""
         c, n = self.capacity, self.level
         # From level h to h + size: N[h] falls and N[h + size] grows by one; full windows and new ones don't count.
-        after = n[size:].copy()
-        after *= 2
-        after += 1
-        after[c - size] = 0
-        change = after
-        change[1:] -= 2 * n[1 : c - size + 1] - 1
-        usable = n[: c - size + 1] > 0
-        usable[0] = True
-        change = np.where(usable, change, np.iinfo(np.int64).max)
-        h = c - size - int(np.argmin(change[::-1]))
+        h, best = 0, 2 * int(n[size]) + 1 if size < c else 0
+        at = np.flatnonzero(n[1 : c - size + 1]) + 1
+        if len(at):
+            change = 2 * (n[at + size] - n[at] + 1)
+            if at[-1] == c - size:
+                change[-1] = 1 - 2 * n[at[-1]]
+            i = len(at) - 1 - int(np.argmin(change[::-1]))
+            if change[i] <= best:
+                h = int(at[i])
         if h == 0:
             window, self.windows = self.windows, self.windows + 1
         else:
@@ -88,9 +87,20 @@ class Packer:
         return window
 
 
+def _placed(rows: list[tuple[int, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i else pa.int32()) for i in range(6)], names=PLACED.names)
+
+
+#: Rows given out at once.
+OUT_ROWS = 50_000
 PLACED = T.StructType([T.StructField("capacity", T.IntegerType()), T.StructField("pack", T.LongType()), T.StructField("text_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("piece", "first_token", "n_tokens")]])
 
 
+def shards_for(texts: DataFrame) -> int:
+    """Packing shards of a table of texts (or sizes), from its number of rows alone; no text is read for it."""
+    return max(1, -(-texts.count() // SHARD_TEXTS))
+
+
 def pack_texts(sizes: DataFrame, capacities: list[int], shards: int | None = None) -> DataFrame:
     """capacity, pack, text_id, piece, first_token, n_tokens: every text in one window of each capacity.
 
@@ -99,25 +109,28 @@ def pack_texts(sizes: DataFrame, capacities: list[int], shards: int | None = Non
     that comes twice is packed twice; an empty table gives an empty result. Texts are packed in the
     order of their ids within hash shards of about SHARD_TEXTS texts, so a shard leaves at most a
     few windows partly filled and the result doesn't depend on the order of rows. pack holds the
-    shard in its upper half.
+    shard in its upper half. Where counting the rows of sizes is dear, pass shards_for() of the table
+    they come from.
     """
     rows = sizes.select(F.col("text_id").cast("long"), F.col("n_tokens").cast("long")).filter("n_tokens > 0 and text_id is not null")
-    shards = shards or max(1, -(-rows.count() // SHARD_TEXTS))
+    shards = shards or shards_for(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packers: dict[int, Packer] = {}
         now = -1
         for batch in batches:
-            out = [[] for _ in range(6)]
+            out: list[tuple[int, ...]] = []
             for shard, text_id, size in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if shard != now:
                     now, packers = shard, {c: Packer(c) for c in capacities}
                 for c, packer in packers.items():
                     for piece, first in enumerate(range(0, size, c)):
                         n = min(c, size - first)
-                        for col, x in zip(out, (c, (shard << 32) + packer.place(n), text_id, piece, first, n)):
-                            col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(o, pa.int64()) for o in out[1:]]], names=PLACED.names)
+                        out.append((c, (shard << 32) + packer.place(n), text_id, piece, first, n))
+                        if len(out) >= OUT_ROWS:  # a very long text has many pieces
+                            yield _placed(out)
+                            out = []
+            yield _placed(out)
 
     shard = F.pmod(F.xxhash64("text_id"), F.lit(shards)).cast("long").alias("shard")
     return rows.select(shard, "text_id", "n_tokens").repartition(shards, "shard").sortWithinPartitions("shard", "text_id", "n_tokens").mapInArrow(run, PLACED)

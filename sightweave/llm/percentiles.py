@@ -1,9 +1,10 @@
 """Percentiles of groups by distributed multi-select, and summaries that can be combined.
 
-Values are written once as sorted chunks. In each round every chunk counts what lies below, at and
-above the pivot of each open target and proposes the medians of both remaining sides; the sums say
-which side goes on, and the weighted median of its proposals is the next pivot. A target ends when
-its pivot is hit or so few values are left that they are sorted at once.
+Values are written as sorted chunks. In each round every chunk discards what the rounds before have
+ruled out for all targets of its group, counts what lies below, at and above the pivot of each open
+target and proposes the medians of both remaining sides; the sums say which side goes on, and the
+weighted median of its proposals is the next pivot. A target ends when its pivot is hit or so few
+values are left that they are sorted at once.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -77,6 +78,12 @@ def chunk_values(data: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
     return v, np.append(0, np.cumsum(np.frombuffer(pa.decompress(weights[8:], n * 8, codec="zstd"), np.int64)))
 
 
+def chunk_bytes(v: np.ndarray, w: np.ndarray, like: bytes) -> tuple[bytes, bytes]:
+    """Part of a chunk in the form of chunk_values(); like are the weights of the whole."""
+    size = len(v).to_bytes(8, "little")
+    return pa.compress(v.tobytes(), codec="zstd", asbytes=True), size if len(like) == 8 else size + pa.compress(w.astype(np.int64).tobytes(), codec="zstd", asbytes=True)
+
+
 def multi_select(df: DataFrame, keys: list[str], value: str, ps: list[float], weight: str | None = None) -> DataFrame:
     """keys, p, n, value: of each group the value of rank ceil(p * n) (the least for p = 0), exactly.
 
@@ -89,7 +96,7 @@ def multi_select(df: DataFrame, keys: list[str], value: str, ps: list[float], we
     names = [f"k{i}" for i in range(len(keys))]
     kinds = {f.name: f.dataType for f in df.schema}
     chunks = cut(sorted_chunks(df, keys, value, weight))
-    start = chunks.groupBy(*names).agg(F.sum("n").alias("n"), F.expr("percentile(mid, 0.5D, n)").alias("pivot"))
+    start = chunks.groupBy(*names).agg(F.sum("n").alias("n"), _proposals("mid", "n").alias("mids")).select(*names, "n", _weighted_median("mids").alias("pivot"))
     targets = F.explode(F.array(*[F.lit(float(p)) for p in ps]))
     minus, plus = F.lit(float("-inf")), F.lit(float("inf"))
     state = start.select(*names, "n", targets.alias("p"), "pivot").select(
@@ -97,7 +104,8 @@ def multi_select(df: DataFrame, keys: list[str], value: str, ps: list[float], we
     )
     state = cut(state)
     key_fields = [T.StructField(m, kinds[k]) for m, k in zip(names, keys)]
-    step_type = T.StructType([*key_fields, T.StructField("p", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in ("lt", "eq", "gt")], T.StructField("mid_lt", T.DoubleType()), T.StructField("mid_gt", T.DoubleType())])
+    held_fields = [T.StructField("data", T.BinaryType()), T.StructField("weights", T.BinaryType())]
+    step_type = T.StructType([*key_fields, T.StructField("p", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in ("lt", "eq", "gt")], T.StructField("mid_lt", T.DoubleType()), T.StructField("mid_gt", T.DoubleType()), *held_fields])
     rest_type = T.StructType([*key_fields, T.StructField("p", T.DoubleType()), T.StructField("vs", T.ArrayType(T.DoubleType())), T.StructField("ws", T.ArrayType(T.LongType()))])
     step_schema, rest_schema, n_keys = to_arrow_schema(step_type), to_arrow_schema(rest_type), len(keys)
 
@@ -117,18 +125,31 @@ def multi_select(df: DataFrame, keys: list[str], value: str, ps: list[float], we
         return np.where(b > a, v[np.minimum(at, len(v) - 1)], np.nan)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of counts (with p), and the chunks with what may still be wanted (without p)."""
         for batch in batches:
-            where, cols = [], [[] for _ in range(6)]
+            where, cols, kept = [], [[] for _ in range(6)], []
             for i in range(batch.num_rows):
                 v, run, t, a, b = ranges(batch, i)
+                going = np.array([x["going"] for x in t])
+                wanted = np.zeros(len(v) + 1, np.int64)
+                np.add.at(wanted, a, 1)
+                np.add.at(wanted, b, -1)
+                mask = np.cumsum(wanted)[:-1] > 0
+                if mask.any():
+                    kept.append((i, *chunk_bytes(v[mask], np.diff(run)[mask], batch.column(n_keys + 1)[i].as_py())))
+                if not going.any():
+                    continue
+                t, a, b = [x for x, g in zip(t, going) if g], a[going], b[going]
                 pivot = np.array([x["pivot"] for x in t])
                 s = np.clip(np.searchsorted(v, pivot, side="left"), a, b)
                 e = np.clip(np.searchsorted(v, pivot, side="right"), a, b)
                 for c, x in zip(cols, ([y["p"] for y in t], run[s] - run[a], run[e] - run[s], run[b] - run[e], middle(v, run, a, s), middle(v, run, e, b))):
                     c.extend(x)
                 where += [i] * len(t)
-            at = pa.array(where, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at).cast(step_schema.field(i).type) for i in range(n_keys)], *[pa.array(np.asarray(c), step_schema.field(n_keys + j).type, from_pandas=True) for j, c in enumerate(cols)]], schema=step_schema)
+            at, none = pa.array(where + [k[0] for k in kept], pa.int64()), len(where)
+            counts = [pa.concat_arrays([pa.array(np.asarray(c), step_schema.field(n_keys + j).type, from_pandas=True), pa.nulls(len(kept), step_schema.field(n_keys + j).type)]) for j, c in enumerate(cols)]
+            held = [pa.concat_arrays([pa.nulls(none, pa.binary()), pa.array([k[j] for k in kept], pa.binary())]) for j in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at).cast(step_schema.field(i).type) for i in range(n_keys)], *counts, *held], schema=step_schema)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,16 +165,19 @@ def multi_select(df: DataFrame, keys: list[str], value: str, ps: list[float], we
             at = pa.array(where, pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at).cast(rest_schema.field(i).type) for i in range(n_keys)], pa.array(ps_, pa.float64()), pa.array(vs, pa.list_(pa.float64())), pa.array(ws, pa.list_(pa.int64()))], schema=rest_schema)
 
-    def with_targets(open_: DataFrame) -> DataFrame:
-        listed = open_.groupBy(*names).agg(F.collect_list(F.struct("p", "lo", "lo_open", "hi", "hi_open", "pivot")).alias("t")).select(*[F.col(m).alias(f"_{m}") for m in names], "t")
+    def with_targets(chunks: DataFrame, open_: DataFrame) -> DataFrame:
+        going = (F.col("left") > FINISH).alias("going")
+        listed = open_.groupBy(*names).agg(F.collect_list(F.struct("p", "lo", "lo_open", "hi", "hi_open", "pivot", going)).alias("t")).select(*[F.col(m).alias(f"_{m}") for m in names], "t")
         return chunks.join(listed, _same(names)).select(*names, "data", "weights", "t")
 
     while True:
-        going = state.filter((F.col("found").isNull()) & (F.col("left") > FINISH))
-        if going.isEmpty():
+        unfound = state.filter("found is null")
+        if unfound.filter(F.col("left") > FINISH).isEmpty():
             break
-        counted = with_targets(going).mapInArrow(step, step_type)
-        sums = counted.groupBy(*names, "p").agg(*[F.sum(c).alias(c) for c in ("lt", "eq", "gt")], F.expr("percentile(mid_lt, 0.5D, lt)").alias("below"), F.expr("percentile(mid_gt, 0.5D, gt)").alias("above"))
+        done = cut(with_targets(chunks, unfound).mapInArrow(step, step_type))
+        chunks = done.filter("p is null").select(*names, "data", "weights")
+        sums = done.filter("p is not null").groupBy(*names, "p").agg(*[F.sum(c).alias(c) for c in ("lt", "eq", "gt")], _proposals("mid_lt", "lt").alias("lows"), _proposals("mid_gt", "gt").alias("highs"))
+        sums = sums.withColumn("below", _weighted_median("lows")).withColumn("above", _weighted_median("highs"))
         sums = sums.select(*[F.col(m).alias(f"_{m}") for m in names], F.col("p").alias("_p"), "lt", "eq", "gt", "below", "above")
         both = state.join(sums, _same(names) & (F.col("p") == F.col("_p")), "left")
         moved, low = F.col("lt").isNotNull(), F.col("rank") <= F.col("lt")
@@ -171,7 +195,7 @@ def multi_select(df: DataFrame, keys: list[str], value: str, ps: list[float], we
                 F.when(hit, F.col("pivot")).otherwise(F.col("found")).alias("found"),
             )
         )
-    few = with_targets(state.filter("found is null")).mapInArrow(rest, rest_type)
+    few = with_targets(chunks, state.filter("found is null")).mapInArrow(rest, rest_type)
     lists = few.groupBy(*names, "p").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("vs").alias("v"), F.col("ws").alias("w"))))).alias("all")).select(*[F.col(m).alias(f"_{m}") for m in names], F.col("p").alias("_p"), "all")
     # The first value at which the running weight reaches the rank.
     none = F.lit(None).cast("double")
@@ -180,6 +204,17 @@ def multi_select(df: DataFrame, keys: list[str], value: str, ps: list[float], we
     return out
 
 
+def _proposals(value: str, weight: str) -> Column:
+    return F.collect_list(F.when(F.col(value).isNotNull() & (F.col(weight) > 0), F.struct(F.col(value).alias("v"), F.col(weight).alias("w"))))
+
+
+def _weighted_median(proposals: str) -> Column:
+    """The first value at which the running weight reaches half of all; null without proposals."""
+    half = F.aggregate(proposals, F.lit(0).cast("long"), lambda s, x: s + x["w"]) / 2
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("double").alias("v"))
+    return F.aggregate(F.array_sort(proposals), start, lambda acc, x: F.struct((acc["sum"] + x["w"]).alias("sum"), F.when(acc["sum"] < half, x["v"]).otherwise(acc["v"]).alias("v")))["v"]
+
+
 def _same(names: list[str]):
     on = F.lit(True)
     for m in names:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from sightweave.llm.clusters import cluster_profiles, similarity_clusters
 from sightweave.llm.knn import nearest_vectors
 from sightweave.llm.leaks import leak_report, leaked_items
-from sightweave.llm.packing import TOKENIZERS, VOCABULARY, pack_texts, token_counts
+from sightweave.llm.packing import TOKENIZERS, VOCABULARY, pack_texts, shards_for, token_counts
 from sightweave.llm.percentiles import combine_summaries, multi_select, percentile_summary
 from sightweave.llm.residue import prepared, residue_paragraphs, train
 from sightweave.llm.topn import top_n
-from sightweave.session import table
+from sightweave.session import latest, table
 
 DIM, NEIGHBOURS, NEAR, LINK = 128, 10, 0.97, 0.76
 
@@ -56,9 +56,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid measures of candidates counted once, with the context of their decision: run_id, context, measure, value."""
-    context = table(spark, sf_dir, "decisions").select("decision_id", "context").dropDuplicates(["decision_id"])
-    once = table(spark, sf_dir, "candidates").select("decision_id", "cand_id", "run_id", "score", "pair_similarity_to_best")
-    once = once.repartition("decision_id").dropDuplicates(["decision_id", "cand_id"])
+    context = latest(table(spark, sf_dir, "decisions"), ["decision_id"], "logged_at", ["context"])
+    once = latest(table(spark, sf_dir, "candidates"), ["cand_id"], "logged_at", ["decision_id", "run_id", "score", "pair_similarity_to_best"])
     named = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("score", "pair_similarity_to_best")])
     long = once.join(context, "decision_id").select("run_id", "context", F.explode(named).alias("m")).select("run_id", "context", "m.measure", "m.value")
     return long.filter(F.col("value").between(-1, 1))
@@ -92,13 +91,13 @@ def _capacities(spark: SparkSession, sf_dir: str) -> list[int]:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that had to be split for the largest packs."""
-    placed = pack_texts(_sizes(spark, sf_dir), _capacities(spark, sf_dir)[-1:])
+    placed = pack_texts(_sizes(spark, sf_dir), _capacities(spark, sf_dir)[-1:], shards_for(table(spark, sf_dir, "documents")))
     return placed.filter("piece = 1").select(F.col("text_id").alias("doc_id")).distinct()
 
 
 def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the packs of each capacity."""
-    return pack_texts(_sizes(spark, sf_dir), _capacities(spark, sf_dir)).withColumnRenamed("text_id", "doc_id")
+    return pack_texts(_sizes(spark, sf_dir), _capacities(spark, sf_dir), shards_for(table(spark, sf_dir, "documents"))).withColumnRenamed("text_id", "doc_id")
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
