@@ -50,8 +50,8 @@ TOP, PERCENTILES, HIGH_P, HIGH = 5, [0.05, 0.25, 0.5, 0.75, 0.9, 0.95], 0.9, 0.8
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best candidates of each subject."""
-    valid = table(spark, sf_dir, "candidates").filter(F.col("score").between(-1, 1))
-    return top_n(valid, ["run_id", "subject_handle"], "score", "handle", "cand_id", TOP).select("run_id", "subject_handle", F.col("item").alias("cand_id"))
+    valid = table(spark, sf_dir, "candidates").withColumn("score", F.when(F.col("score").between(-1, 1), F.col("score")))
+    return top_n(valid, ["run_id", "subject_handle"], "score", "handle", "cand_id", TOP, version="logged_at").select("run_id", "subject_handle", F.col("item").alias("cand_id"))
 
 
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +150,14 @@ SQL: dict[str, str] = {
 both_ AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT det_id, det_id AS m FROM u UNION SELECT r.det_id, both_.b FROM r JOIN both_ ON r.m = both_.a),
 c AS (SELECT det_id, min(m) AS cluster_id, count(*) AS n FROM r GROUP BY det_id) SELECT cluster_id, det_id FROM c WHERE n >= 3""",
+    "p3_profiles": _VECTORS
+    + """, l AS (SELECT x.det_id AS a, y.det_id AS b FROM u x JOIN u y ON x.det_id < y.det_id WHERE list_dot_product(x.u, y.u) >= 0.76),
+both_ AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT det_id, det_id AS m FROM u UNION SELECT r.det_id, both_.b FROM r JOIN both_ ON r.m = both_.a),
+c AS (SELECT det_id, min(m) AS cluster_id, count(*) AS size FROM r GROUP BY det_id), k AS (SELECT cluster_id, size, det_id, u.u FROM c JOIN u USING (det_id)),
+e AS (SELECT cluster_id, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM k), s AS (SELECT cluster_id, i, sum(x) AS x FROM e GROUP BY ALL), w AS (SELECT cluster_id, list(x ORDER BY i) AS w FROM s GROUP BY ALL),
+t AS (SELECT cluster_id, size, det_id, round(list_dot_product(k.u, w.w) / sqrt(list_dot_product(w.w, w.w)), 9) AS typical FROM k JOIN w USING (cluster_id) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY typical DESC, det_id) <= 3)
+SELECT cluster_id, any_value(size) AS size, list(det_id ORDER BY typical DESC, det_id) AS medoids FROM t GROUP BY cluster_id""",
     "p5_found": """
 SELECT run_id, subject_handle, cand_id FROM (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY logged_at DESC) = 1) WHERE score BETWEEN -1 AND 1
 QUALIFY row_number() OVER (PARTITION BY run_id, subject_handle ORDER BY score DESC, handle DESC, cand_id DESC) <= 5""",

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows sorted into one run.
-RUN_ROWS = 250_000
+#: Rows sorted into one run; rows of a run that the merge reads at once.
+RUN_ROWS, READ_ROWS = 250_000, 2_000
 
 RUNS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("run", T.BinaryType())])
 
@@ -58,30 +58,61 @@ class LoserTree:
         self.best = win
 
 
-def merge_runs(runs: list[list[tuple]], n: int) -> Iterator[tuple]:
-    """Rows (group, rank order, item) of sorted runs, the first n different items of every group."""
-    at = [0] * len(runs)
-    tree = LoserTree([r[0] if r else None for r in runs])
+class Run:
+    """A sorted run that is read batch by batch: the head row, the next one, and the first of a later group.
+
+    batches gives lists of rows (group, rank order, ..).
+    """
+
+    def __init__(self, batches: Iterator[list[tuple]]):
+        self.batches, self.rows, self.at = iter(batches), [], 0
+        self._fill()
+
+    def _fill(self) -> None:
+        while self.rows is not None and self.at >= len(self.rows):
+            self.rows, self.at = next(self.batches, None), 0
+
+    @property
+    def head(self) -> tuple | None:
+        return None if self.rows is None else self.rows[self.at]
+
+    def advance(self) -> None:
+        self.at += 1
+        self._fill()
+
+    def seek(self, group) -> None:
+        """Past all rows of the group: whole batches first, then by binary search."""
+        while self.rows is not None and self.rows[-1][0] <= group:
+            self.at = len(self.rows)
+            self._fill()
+        if self.rows is None:
+            return
+        lo, hi = self.at, len(self.rows)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if self.rows[mid][0] <= group:
+                lo = mid + 1
+            else:
+                hi = mid
+        self.at = lo
+
+
+def merge_runs(runs: list[Run], n: int) -> Iterator[tuple]:
+    """Rows (group, rank order, ..) of sorted runs, the first n different items of every group."""
+    tree = LoserTree([r.head for r in runs])
     group, given, last = None, 0, None
     while (i := tree.winner()) >= 0:
-        row = runs[i][at[i]]
+        row = runs[i].head
         if row[0] != group:
             group, given, last = row[0], 0, None
         if given < n and row[1] != last:
             given, last = given + 1, row[1]
             yield row
-        if given >= n:  # seek: the first row of a later group
-            lo, hi = at[i], len(runs[i])
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if runs[i][mid][0] <= group:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            at[i] = lo
+        if given >= n:
+            runs[i].seek(group)
         else:
-            at[i] += 1
-        tree.replay(i, runs[i][at[i]] if at[i] < len(runs[i]) else None)
+            runs[i].advance()
+        tree.replay(i, runs[i].head)
 
 
 def _descending(text: pd.Series) -> np.ndarray:
@@ -106,24 +137,31 @@ def sorted_run(t: pa.Table, n_keys: int, n: int) -> pd.DataFrame:
     return df.iloc[order[place < n]]
 
 
-class _Down(str):
-    """A label whose order is reversed."""
+#: Bytes that order UTF-8 texts from greatest to least: each byte's complement, the lowest two by an escape below the end mark.
+_DOWN = [bytes([255 - b]) for b in range(256)]
+_DOWN[0], _DOWN[1], _END = b"\xfe\x01", b"\xfe\x00", b"\xff"
 
-    __slots__ = ()
 
-    def __lt__(self, other):
-        return self.encode("utf-8", "surrogatepass") > other.encode("utf-8", "surrogatepass")
+def _down(text: str) -> bytes:
+    raw = text.encode("utf-8", "surrogatepass")
+    return b"".join(_DOWN[b] for b in raw) + _END
 
 
-def top_n(df: DataFrame, keys: list[str], score: str, label: str, item: str, n: int, buckets: int | None = None) -> DataFrame:
+def top_n(df: DataFrame, keys: list[str], score: str, label: str, item: str, n: int, buckets: int | None = None, version: str | None = None) -> DataFrame:
     """keys, item, score, label, place: the n rows of each group with the highest score.
 
     Equal scores are ordered by the greater label (by code point), then by the greater item. Rows
     whose score is null or NaN, or whose item is null, are left out; a null label counts as empty
-    text; null keys form a group of their own; a row sent again (same group, score, label and item) counts once. An
-    empty table gives an empty result. However large a group, a task sends at most n rows of it for
-    each run of RUN_ROWS rows; the merge holds the runs of one bucket.
+    text; null keys form a group of their own; a row sent again (same group, score, label and item)
+    counts once. With version (a column) an item counts once whatever it was sent with before: of its
+    rows the one of the greatest version is taken, null being the least. An empty table gives an empty
+    result. However large a group, a task sends at most n rows of it for each run of RUN_ROWS rows;
+    the merge holds the compressed runs of one bucket and a batch of rows of each.
     """
+    if version:
+        cols = list(dict.fromkeys([*keys, score, label]))
+        newest = F.max(F.struct(F.col(version).alias("_v"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(cols)])).alias("_row")
+        df = df.filter(F.col(item).isNotNull()).groupBy(F.col(item).alias("_item")).agg(newest).select(F.col("_item").alias(item), *[F.col(f"_row._c{i}").alias(c) for i, c in enumerate(cols) if c != item])
     n_keys = len(keys)
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
@@ -143,7 +181,7 @@ def top_n(df: DataFrame, keys: list[str], score: str, label: str, item: str, n:
             for s, e in zip(begin, np.append(begin[1:], len(codes))):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_table(table.slice(s, e - s))
+                    w.write_table(table.slice(s, e - s), max_chunksize=READ_ROWS)
                 blobs.append(sink.getvalue().to_pybytes())
             return pa.RecordBatch.from_arrays([pa.array(codes[begin].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "run"])
 
@@ -161,31 +199,36 @@ def top_n(df: DataFrame, keys: list[str], score: str, label: str, item: str, n:
     out_type = T.StructType([*[T.StructField(m, kinds[k]) for m, k in zip(names, keys)], T.StructField("item", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("label", T.StringType()), T.StructField("place", T.IntegerType())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(blobs: list[bytes]) -> pa.RecordBatch:
-            tables = [pa.ipc.open_stream(b).read_all() for b in blobs]
-            runs = []
-            for t in tables:
-                cols = [c.to_pylist() for c in t.columns]
+        def rows_of(blob: bytes) -> Iterator[list[tuple]]:
+            for part in pa.ipc.open_stream(blob):
+                cols = [c.to_pylist() for c in part.columns]
                 group = [tuple((v is None, 0 if v is None else v) for v in g) for g in zip(*cols[1 : 1 + n_keys])]
-                rank = zip([-x for x in cols[-3]], map(_Down, cols[-2]), [-x for x in cols[-1]])
-                runs.append(list(zip(group, rank)))
+                yield list(zip(group, zip([-x for x in cols[-3]], map(_down, cols[-2]), [-x for x in cols[-1]]), cols[-2]))
+
+        def done(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
             rows, place, last = [], 0, None
-            for group, (s, l, i) in merge_runs(runs, n):
+            for group, (s, _, i), label in merge_runs([Run(rows_of(b)) for b in blobs], n):
                 place = place + 1 if group == last else 1
                 last = group
-                rows.append((*[None if missing else v for missing, v in group], -i, -s + 0.0, str(l), place))
+                rows.append((*[None if missing else v for missing, v in group], -i, -s + 0.0, label, place))
+                if len(rows) >= 50_000:
+                    yield batch_of(rows)
+                    rows = []
+            yield batch_of(rows)
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], schema.field(j).type) for j in range(len(schema))], schema=schema)
 
         now, held = None, []
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if bucket != now and held:
-                    yield done(held)
+                    yield from done(held)
                     held = []
                 now = bucket
                 held.append(blob.as_py())
         if held:
-            yield done(held)
+            yield from done(held)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 

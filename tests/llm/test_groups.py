@@ -11,7 +11,7 @@ from sightweave.llm.packing import Packer, pack_texts, token_counter, token_coun
 def test_loser_tree_merge_seeks_past_groups():
     rng = random.Random(2)
     runs = [sorted((rng.randrange(6), rng.randrange(1000)) for _ in range(rng.randrange(60))) for _ in range(7)] + [[]]
-    got = list(topn.merge_runs(runs, 3))
+    got = list(topn.merge_runs([topn.Run(iter([run[i : i + 7] for i in range(0, len(run), 7)])) for run in runs], 3))
     want = []
     for g in range(6):
         want += [(g, x) for x in sorted({x for run in runs for h, x in run if h == g})[:3]]
@@ -36,6 +36,18 @@ def test_top_n_against_brute_force(spark, monkeypatch, buckets):
     assert topn.top_n(df.limit(0), ["run", "h"], "s", "name", "i", 5).count() == 0
 
 
+def test_top_n_takes_the_last_version_of_an_item(spark):
+    rows = [("a", 0.9, "x", 7, 1), ("a", 0.5, "x", 7, 2), ("a", 0.7, "y", 8, 1), ("a", 0.7, "y", 8, 1), ("b", 0.1, "z", 9, 1), ("a", 0.8, "z", 9, None), ("a", None, "x", 10, 2), ("a", 1.0, "x", 10, 1)]
+    df = spark.createDataFrame(rows, "g string, s double, name string, i long, at int").repartition(3)
+    got = {(r["g"], r["item"], r["score"], r["place"]) for r in topn.top_n(df, ["g"], "s", "name", "i", 2, version="at").collect()}
+    assert got == {("a", 8, 0.7, 1), ("a", 7, 0.5, 2), ("b", 9, 0.1, 1)}
+
+
+def test_labels_order_downwards_by_code_point():
+    names = ["", "a", "ab", "a\x00", "a\x01", "b", "é", "\uffff", "\U0001d4b3", "\x00", "\x00\x00", "\x01"]
+    assert sorted(names, key=topn._down) == sorted(names, key=lambda t: t.encode(), reverse=True)
+
+
 def ranks(values, ps):
     v = sorted(values)
     return {p: v[max(1, math.ceil(round(p * len(v), 9))) - 1] for p in ps}
