@@ -42,6 +42,14 @@ def merged(base: dict, override: dict | None) -> dict:
     return {**base, **(override or {})}
 
 
+@dataclass(frozen=True)
+class DetectorConfig:
+    """What counts as a detected person."""
+
+    confidence: float = 0.4
+    class_id: int = 0
+
+
 @dataclass(frozen=True)
 class ReconcileConfig:
     """Bars and limits of the offline reconcile."""
@@ -55,7 +63,6 @@ class ReconcileConfig:
     top_frac: float = 0.25
     cap: int = 64
     compat: bool = False
-    max_rounds: int = 200
 
     def __post_init__(self) -> None:
         if self.scoring not in SCORING_MODES:

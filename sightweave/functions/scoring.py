@@ -72,19 +72,27 @@ def score_bin(score: Column) -> Column:
     return F.when(score < 0.5, 0).when(score < 0.6, 1).when(score < 0.7, 2).when(score < 0.8, 3).when(score < 0.9, 4).otherwise(5)
 
 
+#: The colour of a box that no identity has.
+PLAIN = -1
+
+
 def palette_index(identity: Column) -> Column:
-    """Colour of an identity: its number modulo 8."""
-    return F.pmod(identity, F.lit(8))
+    """Colour of an identity: its number modulo 8, PLAIN without one; an identity that isn't a number goes by the checksum of its text."""
+    return F.coalesce(F.pmod(F.when(identity.try_cast("long").isNotNull(), identity.try_cast("long")).otherwise(F.crc32(identity.cast("string").cast("binary"))), F.lit(8)).cast("int"), F.lit(PLAIN))
 
 
-def palette_index_of_text(name: Column) -> Column:
-    """Colour of an identity that isn't a number."""
-    return F.pmod(F.crc32(name.cast("binary")), F.lit(8))
+def two_places(x: Column) -> Column:
+    return x.cast("decimal(20,10)").cast("decimal(20,2)").cast("string")
 
 
-def display_label(identity: Column, track: Column) -> Column:
-    """What is written at a box."""
-    return F.when(identity < 0, "pending").when(identity.isNotNull(), F.concat(F.lit("GID "), identity.cast("string"))).when(track.isNotNull(), F.concat(F.lit("ID "), track.cast("string"))).otherwise("person")
+def display_label(reid: Column, score: Column, identity: Column, track: Column, confidence: Column) -> Column:
+    """What is written at a box: the reconciled id with its score, else the live one, else the track, else a person; negative ids are pending."""
+    suffix = F.coalesce(F.concat(F.lit(" ("), two_places(score), F.lit(")")), F.lit(""))
+    own = F.coalesce(F.concat(F.lit("  ID"), track.cast("string")), F.lit(""))
+    pending = F.coalesce(reid, identity) < 0
+    named = F.when(reid.isNotNull(), F.concat(F.lit("REID "), reid.cast("string"), suffix, own)).when(identity.isNotNull(), F.concat(F.lit("GID "), identity.cast("string"), own))
+    bare = F.when(track.isNotNull(), F.concat(F.lit("ID "), track.cast("string"), F.lit("  "))).otherwise("person ")
+    return F.when(pending, F.concat(F.lit("REID ..."), own)).otherwise(F.coalesce(named, F.concat(bare, two_places(confidence))))
 
 
 def register(spark: SparkSession) -> None:
@@ -96,4 +104,4 @@ def register(spark: SparkSession) -> None:
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION reid_verify(cosine DOUBLE, rerank DOUBLE, n BIGINT, gap DOUBLE, quality DOUBLE) RETURNS DOUBLE RETURN 1 / (1 + exp(-({BIAS}D + {W_COSINE}D * cosine + {W_RERANK}D * rerank + {W_COUNT}D * log1p(greatest(0, n)) + {W_GAP}D * greatest(0D, gap) + {W_QUALITY}D * quality)))")
 
 
-__all__ = ["QualityLimits", "display_label", "norm", "palette_index", "palette_index_of_text", "quality_reason", "quality_scalar", "register", "score_bin", "sigmoid", "verifier"]
+__all__ = ["QualityLimits", "display_label", "norm", "palette_index", "quality_reason", "quality_scalar", "register", "score_bin", "sigmoid", "verifier"]

@@ -146,9 +146,8 @@ def _rounds_of_run(pdf: pd.DataFrame, cfg: ReconcileConfig) -> pd.DataFrame:
     x, y = np.nonzero(collide)
     conflict[own[x], own[y]] = True
     inside[own, np.searchsorted(names, cam)] = True
-    alive, rounds = np.ones(n, bool), 0
-    while rounds < cfg.max_rounds:
-        rounds += 1
+    alive = np.ones(n, bool)
+    while True:  # every round but the last makes a union
         at = np.flatnonzero(alive)
         sums = np.zeros((n, v.shape[1]))
         np.add.at(sums, own, v)
@@ -205,7 +204,7 @@ def cluster_tracklets(obs: DataFrame, cfg: ReconcileConfig, dim: int, run_limit:
             return cut(done), 1
     else:
         done = None
-    while rounds < cfg.max_rounds:
+    while True:  # every round but the last makes a union
         rounds += 1
         best = best_partners(candidate_edges(members, cfg, dim, rows))
         if cfg.reciprocal:

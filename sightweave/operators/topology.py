@@ -17,10 +17,11 @@ def shortest_transits(edges: DataFrame) -> DataFrame:
     null camera or time are left out. The number of cameras is checked before the closure is
     computed in memory.
     """
-    rows = edges.select("cam_a", "cam_b", "min_transit_sec").dropna().limit(MAX_CAMERAS**2 + 1).collect()
-    cams = sorted({r[i] for r in rows for i in (0, 1)})
-    if len(cams) > MAX_CAMERAS:
+    given = edges.select("cam_a", "cam_b", "min_transit_sec").dropna()
+    if given.select(F.explode(F.array("cam_a", "cam_b")).alias("cam")).distinct().limit(MAX_CAMERAS + 1).count() > MAX_CAMERAS:
         raise ValueError(f"a topology has {MAX_CAMERAS} cameras at most")
+    rows = given.groupBy(F.least("cam_a", "cam_b").alias("a"), F.greatest("cam_a", "cam_b").alias("b")).agg(F.min("min_transit_sec").alias("s")).collect()
+    cams = sorted({r[i] for r in rows for i in (0, 1)})
     at = {c: i for i, c in enumerate(cams)}
     d = np.full((len(cams), len(cams)), np.inf)
     np.fill_diagonal(d, 0)

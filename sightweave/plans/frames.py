@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sightweave.config import DetectorConfig
 from sightweave.functions import geometry as geo
 from sightweave.functions import scoring
 from sightweave.operators.topology import shortest_transits, with_transit
@@ -50,9 +51,10 @@ def clamp_boxes(spark, sf_dir):
     return rows.select("det_id", "b.x1", "b.y1", "b.x2", "b.y2")
 
 
-@query(f"WITH {D} SELECT cam, count(*) AS n, count(*) FILTER (class_id = 0 AND confidence >= 0.6) AS kept FROM d GROUP BY cam")
+@query(f"WITH {D} SELECT cam, count(*) AS n, count(*) FILTER (class_id = 0 AND confidence >= 0.4) AS kept FROM d GROUP BY cam")
 def class_confidence(spark, sf_dir):
-    return seen(spark, sf_dir).groupBy("cam").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("class_id") == 0) & (F.col("confidence") >= 0.6)).alias("kept"))
+    cfg = DetectorConfig()
+    return seen(spark, sf_dir).groupBy("cam").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("class_id") == cfg.class_id) & (F.col("confidence") >= cfg.confidence)).alias("kept"))
 
 
 @query(
@@ -152,9 +154,14 @@ def cooccurrence_pairs(spark, sf_dir):
     return s.join(other, ["run_id", "cam", "frame_index"]).filter("track_id < track_b").select("run_id", "cam", F.col("track_id").alias("track_a"), "track_b").distinct()
 
 
-@query(f"WITH {D} SELECT det_id, CASE WHEN global_id IS NULL THEN NULL ELSE ((global_id % 8) + 8) % 8 END AS colour, CASE WHEN global_id < 0 THEN 'pending' WHEN global_id IS NOT NULL THEN 'GID ' || global_id WHEN track_id IS NOT NULL THEN 'ID ' || track_id ELSE 'person' END AS label FROM d")
+@query(
+    f"""WITH {D}, x AS (SELECT *, CASE WHEN track_id IS NOT NULL THEN '  ID' || track_id ELSE '' END AS own, coalesce(' (' || reid_score::DECIMAL(20,10)::DECIMAL(20,2)::VARCHAR || ')', '') AS suffix, confidence::DECIMAL(20,10)::DECIMAL(20,2)::VARCHAR AS c FROM d)
+SELECT det_id, coalesce(((coalesce(reid_id, global_id) % 8) + 8) % 8, -1)::INTEGER AS colour, CASE WHEN coalesce(reid_id, global_id) < 0 THEN 'REID ...' || own WHEN reid_id IS NOT NULL THEN 'REID ' || reid_id || suffix || own WHEN global_id IS NOT NULL THEN 'GID ' || global_id || own WHEN track_id IS NOT NULL THEN 'ID ' || track_id || '  ' || c ELSE 'person ' || c END AS label FROM x"""
+)
 def palette(spark, sf_dir):
-    return seen(spark, sf_dir).select("det_id", scoring.palette_index(F.col("global_id")).alias("colour"), scoring.display_label(F.col("global_id"), F.col("track_id")).alias("label"))
+    rows = latest(table(spark, sf_dir, "detections"), ["det_id"], "ingested_at", ["reid_id", "reid_score", "global_id", "track_id", "confidence"])
+    label = scoring.display_label(*[F.col(c) for c in ("reid_id", "reid_score", "global_id", "track_id", "confidence")])
+    return rows.select("det_id", scoring.palette_index(F.coalesce("reid_id", "global_id")).alias("colour"), label.alias("label"))
 
 
 @query(f"WITH {FR} SELECT run_id, cam, epoch_us(ts) // 1000000 AS tick, max(frame_index) AS frame_index, count(*) - 1 AS dropped FROM f GROUP BY ALL")

@@ -49,9 +49,19 @@ def live_counters(spark, sf_dir):
     return live_engine_replay(spark, sf_dir).groupBy("run_id", "event", scoring.score_bin(F.col("score")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {D}, e AS (SELECT run_id, cam, frame_index FROM frames UNION SELECT run_id, cam, frame_index FROM d), t AS (SELECT *, row_number() OVER (PARTITION BY run_id, cam ORDER BY frame_index) AS tick FROM e),
+r AS (SELECT det_id, run_id, cam, track_id, tick, coalesce(crop_quality.accepted, false) AS ok, row_number() OVER (PARTITION BY run_id, cam, track_id ORDER BY tick, det_id) AS i FROM d JOIN t USING (run_id, cam, frame_index) WHERE track_id IS NOT NULL),
+w AS (SELECT run_id, cam, track_id, i, tick, det_id, ok AS due, CASE WHEN ok THEN 1 ELSE 0 END AS done, CASE WHEN ok THEN tick ELSE 0 END AS last, CASE WHEN ok THEN det_id END AS vec FROM r WHERE i = 1
+UNION ALL SELECT run_id, cam, track_id, i, tick, det_id, now, done + now::INTEGER, CASE WHEN now THEN tick ELSE last END, CASE WHEN now THEN det_id ELSE vec END FROM
+  (SELECT r.*, CASE WHEN r.tick - 1 - w.tick > 90 THEN 0 ELSE w.done END AS done, CASE WHEN r.tick - 1 - w.tick > 90 THEN 0 ELSE w.last END AS last, CASE WHEN r.tick - 1 - w.tick > 90 THEN NULL ELSE w.vec END AS vec,
+    r.ok AND (CASE WHEN r.tick - 1 - w.tick > 90 THEN 0 ELSE w.done END < 3 OR r.tick - CASE WHEN r.tick - 1 - w.tick > 90 THEN 0 ELSE w.last END >= 10) AS now FROM w JOIN r ON r.run_id = w.run_id AND r.cam = w.cam AND r.track_id = w.track_id AND r.i = w.i + 1))
+SELECT det_id, due, vec AS vector_of FROM w"""
+)
 def throttle(spark, sf_dir):
-    return engine.throttled(seen(spark, sf_dir))
+    """Which observations are embedded anew, and whose vector the others carry."""
+    rows = seen(spark, sf_dir).withColumn("accepted", F.col("crop_quality.accepted"))
+    return engine.throttled(rows, table(spark, sf_dir, "frames"))
 
 
 @query(f"WITH {D} SELECT det_id, row_number() OVER (PARTITION BY run_id, cam, track_id ORDER BY frame_index, det_id) <= 3 AS warmup FROM d WHERE track_id IS NOT NULL")

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from urllib.parse import urlsplit
 
 #: Files taken for recordings.
-EXTENSIONS = (".avi", ".m4v", ".mkv", ".mov", ".mp4", ".webm")
+EXTENSIONS = (".mp4", ".avi", ".mov", ".mkv", ".m4v", ".webm", ".mpg", ".mpeg")
 
 
 def is_stream(source: str) -> bool:
@@ -51,7 +51,13 @@ def resolve(given: list[str] | None = None, folder: str | None = None, configure
     return named(sources)
 
 
-def transport_options(transport: str = "tcp", timeout_ms: int = 5000, **more: object) -> str:
-    """Options of a stream reader as key;value pairs joined by a bar; the timeout is given in microseconds."""
-    pairs = {"rtsp_transport": transport, "stimeout": timeout_ms * 1000, **more}
+def transport_options(transport: str | None = "tcp", timeout_ms: float | None = 5000, **more: object) -> str:
+    """Options of a stream reader as key;value pairs joined by a bar; the timeout is given in microseconds, under both its names.
+
+    No transport and no (or a zero) timeout give no option; nothing at all gives an empty text.
+    """
+    pairs: dict[str, object] = {"rtsp_transport": transport} if transport else {}
+    if timeout_ms and timeout_ms > 0:
+        pairs |= {"timeout": int(timeout_ms * 1000), "stimeout": int(timeout_ms * 1000)}
+    pairs |= more
     return "|".join(f"{k};{v}" for k, v in pairs.items())

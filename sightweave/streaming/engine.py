@@ -12,7 +12,7 @@ bounded by a time to live and by the number of identities kept.
 from __future__ import annotations
 
 import pickle
-from collections import Counter, deque
+from collections import Counter, OrderedDict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -71,8 +71,9 @@ class Engine:
 
     def __init__(self, cfg: LiveConfig, transit: dict[tuple[str, str], float | None] | None = None):
         self.cfg, self.transit = cfg, transit or {}
-        self.identities: dict[int, Identity] = {}
-        self.tracks: dict[tuple[str, int], Track] = {}
+        # Both in the order in which they were last seen, so that sweeping starts with the oldest.
+        self.identities: OrderedDict[int, Identity] = OrderedDict()
+        self.tracks: OrderedDict[tuple[str, int], Track] = OrderedDict()
         self.next_id, self.next_provisional = 1, -1
         self.counts: Counter = Counter()
 
@@ -99,11 +100,10 @@ class Engine:
         cross = sorted(((scores[g], g) for g, w in able.items() if set(w.spans) - {cam}), reverse=True)
         if cross and cross[0][0] >= c.cross_bar and cross[0][0] - (cross[1][0] if len(cross) > 1 else -1.0) >= c.margin:
             score, best = cross[0]
+            # Mutual: no other identity that could be here may be closer to the candidate's bank than this track is.
             who = self.identities[best]
-            n = np.linalg.norm(who.total)
-            # Mutual: no other identity may be closer to the candidate than this track is.
-            rival = max((w.score(who.total / n) for g, w in able.items() if g != best), default=-1.0) if n > 0 else -1.0
-            if rival <= score:
+            others = ((w.total, np.linalg.norm(w.total)) for g, w in self.identities.items() if g != best and not any(s < ts < e for s, e in w.spans.get(cam, ())))
+            if max((who.score(total / n) for total, n in others if n > 0), default=-1.0) <= score:
                 return best, "linked", score
         return None, "minted", cross[0][0] if cross else None
 
@@ -115,15 +115,14 @@ class Engine:
             spans.append([start, ts])
         who.tracks[key] = ts
         who.last = (key[0], ts)
+        self.identities.move_to_end(self.tracks[key].identity)
 
     def _sweep(self, ts: float) -> None:
         c = self.cfg
-        for k in [k for k, t in self.tracks.items() if ts - t.seen > c.ttl_sec]:
-            del self.tracks[k]
-        for g in [g for g, w in self.identities.items() if ts - w.last[1] > c.ttl_sec]:
-            del self.identities[g]
-        for g in sorted(self.identities, key=lambda g: self.identities[g].last[1])[: max(0, len(self.identities) - c.max_identities)]:
-            del self.identities[g]
+        while self.tracks and ts - next(iter(self.tracks.values())).seen > c.ttl_sec:
+            self.tracks.popitem(last=False)
+        while self.identities and (ts - next(iter(self.identities.values())).last[1] > c.ttl_sec or len(self.identities) > c.max_identities):
+            self.identities.popitem(last=False)
 
     def observe(self, cam: str, track_id: int, ts: float, u: np.ndarray | None, quality: float) -> tuple[int, str, float | None]:
         """Identity (or provisional id), what happened, and the score if there was one."""
@@ -134,6 +133,7 @@ class Engine:
             t = self.tracks[key] = Track(self.next_provisional, ts, ts)
             self.next_provisional -= 1
         t.seen = max(t.seen, ts)
+        self.tracks.move_to_end(key)
         if u is None:  # no evidence: keeps the id, extends the span, doesn't count
             if t.identity is not None:
                 self._extend(self.identities[t.identity], key, ts, ts)
@@ -205,30 +205,42 @@ def live(stream: DataFrame, cfg: LiveConfig = LiveConfig(), transit: dict | None
     return stream.groupBy("run_id").applyInPandasWithState(step, OUT, "engine binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def throttled(rows: DataFrame, interval: int = 10, warmup: int = 3, cap: int = 0) -> DataFrame:
-    """det_id, due: whether an observation is embedded anew.
+def throttled(rows: DataFrame, frames: DataFrame, interval: int = 10, warmup: int = 3, cap: int = 0, ttl: int = 90) -> DataFrame:
+    """det_id, due, vector_of: whether an observation is embedded anew, and the det_id whose vector it carries (null: none yet).
 
-    Due are a track's first warmup embeddings and then those at least interval ticks after the last;
-    nothing after cap of them (0: no cap). A tick is a frame that the track's camera has seen. Each
-    task scans its tracks once with constant memory.
+    rows: det_id, run_id, cam, track_id, frame_index, accepted (of the crop; null is no usable crop).
+    A tick is a processed frame of the camera, with or without detections. A track is due at first,
+    for its first warmup embeddings, and then at least interval ticks after the last, but never after
+    cap of them (0: no cap). A due crop that isn't accepted is no embedding; the track keeps its last
+    vector. A track unseen for more than ttl ticks is forgotten. Rows without a track are left out; a
+    frame that only rows name is a tick too. Each task scans its tracks once with constant memory.
     """
-    ticks = rows.select("run_id", "cam", "frame_index").distinct()
     from pyspark.sql.window import Window
 
-    ticks = ticks.withColumn("tick", F.row_number().over(Window.partitionBy("run_id", "cam").orderBy("frame_index")))
-    ready = rows.filter("track_id is not null").join(ticks, ["run_id", "cam", "frame_index"]).select("det_id", "run_id", "cam", "track_id", "tick")
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, done, last = None, 0, 0
-        for pdf in frames:
-            due = []
+    key = ["run_id", "cam", "frame_index"]
+    every = frames.select(*key).unionByName(rows.select(*key)).dropna().distinct()
+    # Ticks by blocks of frames, so that no task numbers a whole camera.
+    block = F.floor(F.col("frame_index") / 100_000)
+    sizes = every.groupBy("run_id", "cam", block.alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("run_id", "cam").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("run_id", "cam", "block").orderBy("frame_index"))
+    ticks = every.withColumn("block", block).withColumn("within", within).join(before, ["run_id", "cam", "block"]).select(*key, (F.col("before") + F.col("within")).alias("tick"))
+    ready = rows.filter("track_id is not null").join(ticks, key).select("det_id", "run_id", "cam", "track_id", "tick", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, done, last, seen, vector = None, 0, 0, 0, None
+        for pdf in batches:
+            due, of = [], []
             for r in pdf.itertuples(index=False):
-                if (r.run_id, r.cam, r.track_id) != key:
-                    key, done, last = (r.run_id, r.cam, r.track_id), 0, 0
-                now = (done < warmup or r.tick - last >= interval) and not (cap and done >= cap)
+                if (r.run_id, r.cam, r.track_id) != key or r.tick - 1 - seen > ttl:
+                    key, done, last, vector = (r.run_id, r.cam, r.track_id), 0, 0, None
+                seen = r.tick
+                wanted = done < warmup or r.tick - last >= interval
+                now = bool(wanted and r.accepted and not (cap and done >= cap))
                 if now:
-                    done, last = done + 1, r.tick
+                    done, last, vector = done + 1, r.tick, r.det_id
                 due.append(now)
-            yield pd.DataFrame({"det_id": pdf["det_id"], "due": due})
+                of.append(vector)
+            yield pd.DataFrame({"det_id": pdf["det_id"], "due": due, "vector_of": pd.array(of, dtype="Int64")})
 
-    return ready.repartition("run_id", "cam", "track_id").sortWithinPartitions("run_id", "cam", "track_id", "tick", "det_id").mapInPandas(scan, "det_id long, due boolean")
+    return ready.repartition("run_id", "cam", "track_id").sortWithinPartitions("run_id", "cam", "track_id", "tick", "det_id").mapInPandas(scan, "det_id long, due boolean, vector_of long")

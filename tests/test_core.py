@@ -104,11 +104,12 @@ def test_margins_and_gaps(spark):
 
 
 def test_names_and_options(tmp_path):
-    for f in ("b.mp4", "a.MKV", "notes.txt"):
+    for f in ("b.mp4", "a.MKV", "notes.txt", "c.mpeg", "d.mpg"):
         (tmp_path / f).write_text("")
-    assert [n for n, _ in resolve(folder=str(tmp_path))] == ["a", "b"]
+    assert [n for n, _ in resolve(folder=str(tmp_path))] == ["a", "b", "c", "d"]
     assert [n for n, _ in named(["x/cam_2.mp4", "rtsp://10.0.0.2/s", "rtsp://10.0.1.2/s"])] == ["cam_2", "cam_2_2", "cam_2_3"]
-    assert transport_options("udp", 3, fflags="nobuffer") == "rtsp_transport;udp|stimeout;3000|fflags;nobuffer"
+    assert transport_options("udp", 3, fflags="nobuffer") == "rtsp_transport;udp|timeout;3000|stimeout;3000|fflags;nobuffer"
+    assert transport_options("", 0) == "" and transport_options(None, None, a=1) == "a;1"
     with pytest.raises(FileNotFoundError):
         resolve(given=["/nowhere/x.mp4"])
 
@@ -158,10 +159,51 @@ def test_live_stream_equals_replay(spark, tmp_path):
 
 
 def test_throttle(spark):
-    rows = spark.createDataFrame([(i, "r", "c", 1, i) for i in range(30)] + [(100, "r", "c", 2, 29), (101, "r", "c", None, 3)], "det_id long, run_id string, cam string, track_id long, frame_index long")
-    due = sorted(r["det_id"] for r in engine.throttled(rows, interval=10, warmup=3).collect() if r["due"])
-    assert due == [0, 1, 2, 12, 22, 100]
-    assert sorted(r["det_id"] for r in engine.throttled(rows, 10, 3, cap=4).collect() if r["due"]) == [0, 1, 2, 12, 100]
+    kind = "det_id long, run_id string, cam string, track_id long, frame_index long, accepted boolean"
+    rows = spark.createDataFrame([(i, "r", "c", 1, i, True) for i in range(30)] + [(100, "r", "c", 2, 29, True), (101, "r", "c", None, 3, True)], kind)
+    none = rows.limit(0)
+    due = lambda *a, **kw: sorted(r["det_id"] for r in engine.throttled(*a, **kw).collect() if r["due"])
+    assert due(rows, none) == [0, 1, 2, 12, 22, 100]
+    assert due(rows, none, 10, 3, cap=4) == [0, 1, 2, 12, 100]
+    # Frames without detections are ticks, rejected crops are no embeddings and are tried again, and a track out of sight is forgotten.
+    sparse = spark.createDataFrame([(0, "r", "c", 1, 0, True), (1, "r", "c", 1, 2, False), (2, "r", "c", 1, 4, None), (3, "r", "c", 1, 6, True), (4, "r", "c", 1, 8, True), (5, "r", "c", 1, 12, True), (6, "r", "c", 1, 18, True), (7, "r", "c", 1, 200, False), (8, "r", "c", 1, 201, True)], kind)
+    frames = spark.createDataFrame([("r", "c", i) for i in range(202)], "run_id string, cam string, frame_index long")
+    got = {r["det_id"]: (r["due"], r["vector_of"]) for r in engine.throttled(sparse, frames).collect()}
+    assert got == {0: (True, 0), 1: (False, 0), 2: (False, 0), 3: (True, 3), 4: (True, 4), 5: (False, 4), 6: (True, 6), 7: (False, None), 8: (True, 8)}
+
+
+def test_the_reciprocal_guard_asks_the_candidates_own_bank():
+    """A rival whose prototype is closer to the candidate's bank than the track is keeps it from being linked."""
+    unit = lambda *x: np.array(x) / np.linalg.norm(x)
+    cfg = engine.LiveConfig(min_evidence=1, cross_bar=0.5, margin=0.0)
+
+    def link(rival_seen_here):
+        e = engine.Engine(cfg)
+        e.observe("a", 1, 0.0, unit(1, 0, 0), 1.0)
+        first = e.tracks["a", 1].identity
+        other = engine.Identity(engine.deque([unit(1, 0.1, 0)], maxlen=20), unit(1, 0.1, 0), {"b": [[50.0, 150.0]] if rival_seen_here else [[0.0, 1.0]]}, {}, ("b", 1.0))
+        e.identities[99] = other
+        return e.observe("c" if not rival_seen_here else "b", 7, 100.0, unit(1, 0, 0.6), 1.0)[1], first
+
+    assert link(False)[0] == "minted"  # the rival's prototype is at 0.995, the track at 0.86
+    assert link(True)[0] == "linked"  # one that is on screen here can't be the candidate's other half
+
+
+def test_labels(spark):
+    rows = [(None, None, None, None, 0.876), (None, None, None, 3, 0.876), (None, None, -2, 3, 0.5), (None, None, 9, 3, 0.5), (4, 0.7, 9, 3, 0.5), (4, None, None, None, 0.5)]
+    df = spark.createDataFrame(rows, "reid long, score double, gid long, track long, conf double")
+    got = [tuple(r) for r in df.select(scoring.palette_index(F.coalesce("reid", "gid")), scoring.display_label(*[F.col(c) for c in df.columns])).collect()]
+    assert got == [(-1, "person 0.88"), (-1, "ID 3  0.88"), (6, "REID ...  ID3"), (1, "GID 9  ID3"), (4, "REID 4 (0.70)  ID3"), (4, "REID 4")]
+
+
+def test_a_topology_with_many_parallel_edges(spark, monkeypatch):
+    from sightweave.operators import topology
+
+    monkeypatch.setattr(topology, "MAX_CAMERAS", 3)
+    edges = spark.createDataFrame([("a", "b", float(9 + i)) for i in range(40)] + [("c", "b", 2.0), ("b", "a", 4.0)], "cam_a string, cam_b string, min_transit_sec double")
+    assert {(r[0], r[1]): r[2] for r in topology.shortest_transits(edges).collect()}["a", "c"] == 6.0
+    with pytest.raises(ValueError):
+        topology.shortest_transits(edges.unionByName(spark.createDataFrame([("d", "a", 1.0)], edges.schema)))
 
 
 def test_core_needs_no_llm():
