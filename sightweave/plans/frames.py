@@ -10,7 +10,7 @@ from sightweave.config import DetectorConfig
 from sightweave.functions import geometry as geo
 from sightweave.functions import scoring
 from sightweave.operators.topology import shortest_transits, with_transit
-from sightweave.plans.identity import D, seen
+from sightweave.plans.identity import D, OBS, seen
 from sightweave.session import latest, table
 
 QUERIES: dict = {}
@@ -86,7 +86,13 @@ def occlusion(spark, sf_dir):
     return top.select("det_id", F.round("o", 6).alias("occlusion"), (F.col("o") > scoring.QualityLimits().max_occlusion).alias("rejected"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {D}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id, cam, frame_index ORDER BY confidence DESC, det_id) AS i, count(*) OVER (PARTITION BY run_id, cam, frame_index) AS m FROM d),
+k AS (SELECT run_id, cam, frame_index, i, m, [{{'d': det_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM n WHERE i = 1 UNION ALL
+  SELECT n.run_id, n.cam, n.frame_index, n.i, n.m, CASE WHEN len(list_filter(k.kept, lambda y: greatest(0, least(n.x2, y.x2) - greatest(n.x1, y.x1)) * greatest(0, least(n.y2, y.y2) - greatest(n.y1, y.y1)) >= 0.7 * (greatest(1, greatest(0, n.x2 - n.x1) * greatest(0, n.y2 - n.y1)) + greatest(1, greatest(0, y.x2 - y.x1) * greatest(0, y.y2 - y.y1)) - greatest(0, least(n.x2, y.x2) - greatest(n.x1, y.x1)) * greatest(0, least(n.y2, y.y2) - greatest(n.y1, y.y1))))) > 0
+    THEN k.kept ELSE list_append(k.kept, {{'d': n.det_id, 'x1': n.x1, 'y1': n.y1, 'x2': n.x2, 'y2': n.y2}}) END FROM k JOIN n ON n.run_id = k.run_id AND n.cam = k.cam AND n.frame_index = k.frame_index AND n.i = k.i + 1)
+SELECT run_id, cam, frame_index, m::INTEGER AS boxes, list_transform(kept, lambda x: x.d) AS kept FROM k WHERE i = m"""
+)
 def box_dedup(spark, sf_dir):
     """Boxes of a frame kept in order of confidence if they overlap none kept before by 0.7 or more."""
     b = F.struct((-F.col("confidence")).alias("c"), "det_id", *["x1", "y1", "x2", "y2"])
@@ -233,16 +239,21 @@ def timeline(spark, sf_dir):
     return stamped(spark, sf_dir).groupBy("run_id", "cam").agg(n.alias("frames"), F.round(n / F.nullif(seconds, F.lit(0)), 6).alias("fps"), F.round(100.0 * (span - n) / span, 6).alias("drop_pct"), F.round(seconds, 6).alias("seconds"))
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT cam_a AS a, cam_b AS b, greatest(0, min_transit_sec) AS s FROM topology UNION ALL SELECT cam_b, cam_a, greatest(0, min_transit_sec) FROM topology), m AS (SELECT a, b, min(s) AS s FROM e GROUP BY ALL), c AS (SELECT DISTINCT a AS x FROM m),
-w AS (SELECT x AS a, x AS b, 0.0::DOUBLE AS s, [x] AS way FROM c UNION ALL SELECT w.a, m.b, w.s + m.s, list_append(way, m.b) FROM w JOIN m ON w.b = m.a WHERE NOT list_contains(way, m.b) AND len(way) < 9)
-SELECT p.x AS cam_a, q.x AS cam_b, round(min(s), 6) AS seconds FROM c p CROSS JOIN c q LEFT JOIN w ON w.a = p.x AND w.b = q.x GROUP BY ALL"""
-)
+_WAYS = """e AS (SELECT cam_a AS a, cam_b AS b, greatest(0, min_transit_sec) AS s FROM topology UNION ALL SELECT cam_b, cam_a, greatest(0, min_transit_sec) FROM topology), m AS (SELECT a, b, min(s) AS s FROM e GROUP BY ALL), c AS (SELECT DISTINCT a AS x FROM m),
+w AS (SELECT x AS a, x AS b, 0.0::DOUBLE AS s, [x] AS way FROM c UNION ALL SELECT w.a, m.b, w.s + m.s, list_append(way, m.b) FROM w JOIN m ON w.b = m.a WHERE NOT list_contains(way, m.b) AND len(way) < 9),
+ways AS (SELECT p.x AS cam_a, q.x AS cam_b, round(min(s), 6) AS seconds FROM c p CROSS JOIN c q LEFT JOIN w ON w.a = p.x AND w.b = q.x GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_WAYS} SELECT * FROM ways")
 def topology_all_pairs(spark, sf_dir):
     return shortest_transits(table(spark, sf_dir, "topology")).withColumn("seconds", F.round("seconds", 6))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_WAYS}, {OBS}, {FR}, tm AS (SELECT obs.run_id, gid, obs.cam, epoch_us(ts) AS us, det_id FROM obs JOIN f ON f.run_id = obs.run_id AND f.cam = obs.cam AND f.frame_index = obs.frame_index WHERE gid > 0),
+mv AS (SELECT cam, lag(cam) OVER o AS from_cam, (us - lag(us) OVER o) / 1e6 AS gap FROM tm WINDOW o AS (PARTITION BY run_id, gid ORDER BY us, det_id))
+SELECT from_cam, cam, count(*) AS moves, count(*) FILTER (cam_a IS NOT NULL AND (seconds IS NULL OR greatest(0, gap) < seconds)) AS vetoed FROM mv LEFT JOIN ways ON cam_a = from_cam AND cam_b = cam WHERE from_cam <> cam GROUP BY from_cam, cam"""
+)
 def topology_veto(spark, sf_dir):
     """Moves of an identity from camera to camera that are too fast for the site."""
     from sightweave.plans.identity import obs

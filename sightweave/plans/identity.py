@@ -157,7 +157,58 @@ def reconcile_rounds(spark, sf_dir):
     return rec.reconcile(obs(spark, sf_dir), CFG, DIM, run_limit=0)
 
 
-@query()
+_KEYED = PROTO + ", k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY cam, track_id) - 1 AS key FROM p)"
+
+
+def _audit_sql(phase: str, listed: bool) -> str:
+    """Audit records, or their candidates, of tracklets that are clusters of their own."""
+    same = phase == "same_camera"
+    letter, bar, near = ("U", 0.9, "AND x.cam = y.cam") if same else ("C", 0.7, "")
+    apart = "" if same else "WHEN x.cam = y.cam THEN 'NOT_MERGEABLE_CROSS'"
+    handle = lambda key: f"'{letter}-' || lpad({key}::VARCHAR, 4, '0')"
+    sql = f"""WITH {_KEYED}, q AS (SELECT x.run_id, x.key AS me, y.key AS you, x.cam AS cam, x.observations AS mine, y.observations AS theirs, list_dot_product(x.proto, y.proto) AS s,
+  CASE WHEN x.cam = y.cam AND NOT (x.last_frame < y.first_frame OR y.last_frame < x.first_frame) THEN 'TEMPORAL_CONFLICT_SAME_CAMERA' {apart} WHEN list_dot_product(x.proto, y.proto) < {bar} THEN 'BELOW_ABSOLUTE_THRESHOLD' END AS why FROM k x JOIN k y ON x.run_id = y.run_id AND x.key <> y.key {near}),
+b AS (SELECT * FROM q WHERE why IS NULL QUALIFY row_number() OVER (PARTITION BY run_id, me ORDER BY s DESC, you DESC) = 1),
+ab AS (SELECT *, row_number() OVER (PARTITION BY run_id, me ORDER BY s DESC, you) AS r FROM q WHERE why IS NULL), g AS (SELECT run_id, me, max(s) FILTER (r = 1) - max(s) FILTER (r = 2) AS margin FROM ab GROUP BY ALL)"""
+    if listed:
+        return (
+            sql
+            + f""", od AS (SELECT *, row_number() OVER (PARTITION BY run_id, me ORDER BY s DESC, you) AS place FROM q)
+SELECT o.run_id, {handle("o.me")} AS subject, {handle("o.you")} AS handle, o.place::INTEGER - 1 AS pos, round(o.s, 6) AS score, o.why AS excluded_by, CASE WHEN o.why IS NULL THEN c.you IS DISTINCT FROM o.me END AS would_fail_reciprocity, 1 AS cluster_size, o.theirs AS observations, round(CASE WHEN b.you = o.you THEN 1 ELSE list_dot_product(kb.proto, ky.proto) END, 6) AS pair_similarity_to_best
+FROM od o LEFT JOIN b ON b.run_id = o.run_id AND b.me = o.me LEFT JOIN b c ON c.run_id = o.run_id AND c.me = o.you LEFT JOIN k kb ON kb.run_id = o.run_id AND kb.key = b.you LEFT JOIN k ky ON ky.run_id = o.run_id AND ky.key = o.you WHERE o.place <= 200"""
+        )
+    lost = "" if same else "WHEN c.you IS DISTINCT FROM x.me THEN ['RECIPROCAL_BEST']"
+    return (
+        sql
+        + f""", x AS (SELECT run_id, me, any_value(cam) AS cam, any_value(mine) AS observations, count(*) AS scored_count, count(*) FILTER (why IS NULL) AS eligible_count FROM q GROUP BY ALL)
+SELECT x.run_id, {handle("x.me")} AS handle, '{phase}' AS phase, x.observations, [x.cam] AS cameras, CASE WHEN b.you IS NULL THEN ['ABSOLUTE_THRESHOLD'] {lost} ELSE [] END AS gates_failed, {handle("b.you")} AS best_handle, round(b.s, 6) AS best_score, round(g.margin, 6) AS margin_eligible, scored_count > 200 AS candidates_truncated, scored_count, eligible_count
+FROM x LEFT JOIN b ON b.run_id = x.run_id AND b.me = x.me LEFT JOIN b c ON c.run_id = x.run_id AND c.me = b.you LEFT JOIN g ON g.run_id = x.run_id AND g.me = x.me"""
+    )
+
+
+def _candidates(records: DataFrame) -> DataFrame:
+    """One row for each listed candidate of audit records."""
+    rows = records.select("run_id", F.col("handle").alias("subject"), F.posexplode("candidates").alias("pos", "c"))
+    return rows.select("run_id", "subject", "pos", "c.*")
+
+
+@query(_audit_sql("same_camera", True))
+def audit_candidates_same_camera(spark, sf_dir):
+    """The candidates of the records of audit_same_camera, a row each."""
+    from sightweave.operators.audit import audit
+
+    return _candidates(audit(_single(spark, sf_dir), CFG, "same_camera"))
+
+
+@query(_audit_sql("cross_camera", True))
+def audit_candidates_cross_camera(spark, sf_dir):
+    """The candidates of the records of audit_cross_camera, a row each."""
+    from sightweave.operators.audit import audit
+
+    return _candidates(audit(_single(spark, sf_dir), CFG, "cross_camera"))
+
+
+@query(_audit_sql("same_camera", False))
 def audit_same_camera(spark, sf_dir):
     """Every tracklet's candidates in its camera, as the first phase sees them."""
     from sightweave.operators.audit import audit
@@ -165,7 +216,7 @@ def audit_same_camera(spark, sf_dir):
     return audit(_single(spark, sf_dir), CFG, "same_camera").drop("candidates")
 
 
-@query()
+@query(_audit_sql("cross_camera", False))
 def audit_cross_camera(spark, sf_dir):
     """Every tracklet's candidates over cameras in the first round."""
     from sightweave.operators.audit import audit
@@ -241,7 +292,7 @@ def bank_last_n(spark, sf_dir):
     return obs(spark, sf_dir).filter("gid is not null").select("run_id", "gid", "det_id", place.alias("place")).filter("place <= 20")
 
 
-@query(f"WITH {OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id, cam, track_id ORDER BY frame_index, det_id) - 1 AS i, count(*) OVER (PARTITION BY run_id, cam, track_id) AS n FROM obs), j AS (SELECT unnest(range(16)) AS j) SELECT DISTINCT run_id, cam, track_id, det_id FROM r, j WHERE n <= 16 OR i = round_even(j * ((n - 1) / 15.0), 0)::BIGINT")
+@query(f"WITH {OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id, cam, track_id ORDER BY frame_index, det_id) - 1 AS i, count(*) OVER (PARTITION BY run_id, cam, track_id) AS n FROM obs), j AS (SELECT unnest(range(64)) AS j) SELECT DISTINCT run_id, cam, track_id, det_id FROM r, j WHERE n <= 64 OR i = round_even(j * ((n - 1) / 63.0), 0)::BIGINT")
 def even_subsample(spark, sf_dir):
     return trk.even_rows(obs(spark, sf_dir), KEY, ["frame_index", "det_id"], CFG.cap).select(*KEY, "det_id")
 

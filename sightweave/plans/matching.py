@@ -88,19 +88,21 @@ def set_scores(observations, mode):
 
 _SETS = (
     OBS
-    + """, r AS (SELECT *, row_number() OVER (PARTITION BY run_id, cam, track_id ORDER BY frame_index, det_id) - 1 AS i, count(*) OVER (PARTITION BY run_id, cam, track_id) AS n FROM obs), j AS (SELECT unnest(range(16)) AS j),
-s AS (SELECT DISTINCT run_id, cam, track_id, det_id, u FROM r, j WHERE n <= 16 OR i = round_even(j * ((n - 1) / 15.0), 0)::BIGINT),
-nx AS (SELECT run_id, cam, track_id AS track_a, lead(track_id) OVER (PARTITION BY run_id, cam ORDER BY first_frame, track_id) AS track_b FROM t),
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY run_id, cam, track_id ORDER BY frame_index, det_id) - 1 AS i, count(*) OVER (PARTITION BY run_id, cam, track_id) AS n FROM obs), j AS (SELECT unnest(range(64)) AS j),
+s AS (SELECT DISTINCT run_id, cam, track_id, det_id, u FROM r, j WHERE n <= 64 OR i = round_even(j * ((n - 1) / 63.0), 0)::BIGINT),
+e AS (SELECT run_id, cam, track_id, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM obs), m AS (SELECT run_id, cam, track_id, i, sum(x) AS x FROM e GROUP BY ALL), a AS (SELECT run_id, cam, track_id, list(x ORDER BY i) AS w FROM m GROUP BY ALL),
+p AS (SELECT * FROM a JOIN t USING (run_id, cam, track_id)),
+nx AS (SELECT x.run_id, x.cam, x.track_id AS track_a, y.track_id AS track_b, list_dot_product(x.w, y.w) / sqrt(list_dot_product(x.w, x.w) * list_dot_product(y.w, y.w)) AS proto FROM p x JOIN p y ON x.run_id = y.run_id AND x.cam = y.cam AND x.track_id < y.track_id AND (x.last_frame < y.first_frame OR y.last_frame < x.first_frame)),
 pr AS (SELECT nx.*, list_dot_product(x.u, y.u) AS d FROM nx JOIN s x ON x.run_id = nx.run_id AND x.cam = nx.cam AND x.track_id = nx.track_a JOIN s y ON y.run_id = nx.run_id AND y.cam = nx.cam AND y.track_id = nx.track_b)"""
 )
 
 
-@query(f"WITH {_SETS} SELECT run_id, cam, track_a, track_b, round(max(d), 6) AS score FROM pr GROUP BY ALL")
+@query(f"WITH {_SETS} SELECT run_id, cam, track_a, track_b, round(greatest(max(d), any_value(proto)), 6) AS score FROM pr GROUP BY run_id, cam, track_a, track_b")
 def score_max_exemplar(spark, sf_dir):
     return set_scores(obs(spark, sf_dir), "max_exemplar")
 
 
-@query(f"WITH {_SETS}, k AS (SELECT *, row_number() OVER (PARTITION BY run_id, cam, track_a ORDER BY d DESC) AS p, greatest(1, round_even(count(*) OVER (PARTITION BY run_id, cam, track_a) * 0.25, 0)) AS k FROM pr) SELECT run_id, cam, track_a, track_b, round(avg(d), 6) AS score FROM k WHERE p <= k GROUP BY ALL")
+@query(f"WITH {_SETS}, k AS (SELECT *, row_number() OVER (PARTITION BY run_id, cam, track_a, track_b ORDER BY d DESC) AS p, greatest(1, round_even(count(*) OVER (PARTITION BY run_id, cam, track_a, track_b) * 0.25, 0)) AS k FROM pr) SELECT run_id, cam, track_a, track_b, round(avg(d), 6) AS score FROM k WHERE p <= k GROUP BY run_id, cam, track_a, track_b")
 def score_consensus(spark, sf_dir):
     return set_scores(obs(spark, sf_dir), "consensus")
 
