@@ -155,7 +155,7 @@ c AS (SELECT det_id, min(m) AS cluster_id, count(*) AS n FROM r GROUP BY det_id)
 both_ AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT det_id, det_id AS m FROM u UNION SELECT r.det_id, both_.b FROM r JOIN both_ ON r.m = both_.a),
 c AS (SELECT det_id, min(m) AS cluster_id, count(*) AS size FROM r GROUP BY det_id), k AS (SELECT cluster_id, size, det_id, u.u FROM c JOIN u USING (det_id)),
-e AS (SELECT cluster_id, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM k), s AS (SELECT cluster_id, i, sum(x) AS x FROM e GROUP BY ALL), w AS (SELECT cluster_id, list(x ORDER BY i) AS w FROM s GROUP BY ALL),
+xs AS (SELECT cluster_id, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM k), s AS (SELECT cluster_id, i, sum(x) AS x FROM xs GROUP BY ALL), w AS (SELECT cluster_id, list(x ORDER BY i) AS w FROM s GROUP BY ALL),
 t AS (SELECT cluster_id, size, det_id, round(list_dot_product(k.u, w.w) / sqrt(list_dot_product(w.w, w.w)), 9) AS typical FROM k JOIN w USING (cluster_id) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY typical DESC, det_id) <= 3)
 SELECT cluster_id, any_value(size) AS size, list(det_id ORDER BY typical DESC, det_id) AS medoids FROM t GROUP BY cluster_id""",
     "p5_found": """
