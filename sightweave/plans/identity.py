@@ -13,6 +13,7 @@ from sightweave.operators import tracklets as trk
 from sightweave.operators.intervals import interval_periods
 from sightweave.operators.pairs import similar_pairs
 from sightweave.operators.tracklets import KEY
+from sightweave.plans.reconcile_sql import reconcile_ctes
 from sightweave.session import latest, table
 
 DIM = 128
@@ -138,12 +139,15 @@ def reciprocal_best(spark, sf_dir):
     return rec.mutual(best).select("run_id", "a", "b", F.round("score", 6).alias("score"))
 
 
-@query()
+_FINAL = reconcile_ctes(PROTO, CFG.same_bar, CFG.cross_bar)
+
+
+@query(f"{_FINAL} SELECT * FROM ri")
 def reconcile_identities(spark, sf_dir):
     return rec.reconcile(obs(spark, sf_dir), CFG, DIM)
 
 
-@query()
+@query(f"{_FINAL} SELECT run_id, identity, count(DISTINCT cam) AS cameras, count(*) AS tracks, sum(observations)::BIGINT AS observations FROM ri WHERE identity IS NOT NULL GROUP BY ALL HAVING count(DISTINCT cam) > 1")
 def cross_camera_people(spark, sf_dir):
     """Identities seen in more than one camera, with their tracks."""
     ids = rec.reconcile(obs(spark, sf_dir), CFG, DIM).filter("identity is not null")
@@ -151,7 +155,7 @@ def cross_camera_people(spark, sf_dir):
     return people.filter("cameras > 1")
 
 
-@query()
+@query(f"{_FINAL} SELECT * FROM ri")
 def reconcile_rounds(spark, sf_dir):
     """The same by joined rounds for every run, however small."""
     return rec.reconcile(obs(spark, sf_dir), CFG, DIM, run_limit=0)
@@ -241,7 +245,7 @@ def sweep_grid(spark, sf_dir):
     return rec.sweep(cut(obs(spark, sf_dir)), grid, DIM)
 
 
-@query()
+@query(f"{_FINAL} SELECT det_id, d.run_id, d.cam, d.track_id, d.frame_index, ri.identity AS final_id FROM d LEFT JOIN ri ON ri.run_id = d.run_id AND ri.cam = d.cam AND ri.track_id = d.track_id WHERE d.track_id IS NOT NULL")
 def relabel(spark, sf_dir):
     ids = rec.reconcile(obs(spark, sf_dir), CFG, DIM)
     boxes = seen(spark, sf_dir).filter("track_id is not null").select("det_id", *KEY, "frame_index")
