@@ -11,7 +11,7 @@ from sightweave.operators.topology import shortest_transits
 from sightweave.plans.frames import stamped
 from sightweave.plans.identity import D, seen
 from sightweave.session import latest, table
-from sightweave.streaming import engine
+from sightweave.streaming import engine, service
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -43,6 +43,18 @@ def live_engine_replay(spark, sf_dir):
     return engine.replay(live_rows(spark, sf_dir), engine.LiveConfig(), transits)
 
 
+@query()
+def sticky_assign(spark, sf_dir):
+    """Observations assigned one by one: tracks keep their identity, new ones are matched or minted."""
+    return service.assign(live_rows(spark, sf_dir))
+
+
+@query()
+def match_or_mint_verified(spark, sf_dir):
+    """The same with the verifier deciding; what happened to each track's first observation."""
+    return service.assign(live_rows(spark, sf_dir), service.AssignConfig(verified=True)).filter("event <> 'sticky'")
+
+
 @query()
 def live_counters(spark, sf_dir):
     """Events of the live engine by run and score bin."""
