@@ -17,10 +17,8 @@ BELOW = "BELOW_ABSOLUTE_THRESHOLD"
 def decisions(raw: DataFrame) -> DataFrame:
     """Decisions counted once."""
     columns = [c for c in raw.columns if c not in ("decision_id", "logged_at", "gate_detail")]
-    once = latest(raw, ["decision_id"], "logged_at", columns)
-    gates = raw.select("decision_id", F.struct(*[F.struct(*[F.col("gate_detail")[g][f].alias(f) for f in ("gate_value", "gate_threshold", "passed")]).alias(g) for g in GATES]).alias("gates"), "logged_at")
-    detail = gates.groupBy("decision_id").agg(F.max(F.struct("logged_at", "gates")).alias("x")).select("decision_id", "x.gates")
-    return once.join(detail, "decision_id")
+    gates = F.struct(*[F.struct(*[F.col("gate_detail")[g][f].alias(f) for f in ("gate_value", "gate_threshold", "passed")]).alias(g) for g in GATES])
+    return latest(raw.withColumn("gates", gates), ["decision_id"], "logged_at", [*columns, "gates"])
 
 
 def candidates(raw: DataFrame) -> DataFrame:
@@ -40,15 +38,16 @@ def top2_margins(cands: DataFrame) -> DataFrame:
     runner-up; whether they differ is null without a best. The lists of a decision are bounded by
     the clusters of its round.
     """
-    scored = cands.filter("score is not null")
-    rank = F.struct((-F.col("score")).alias("s"), "handle")
-    eligible = scored.filter("excluded_by is null")
-    pick = lambda df, name: df.groupBy("decision_id").agg(F.min(rank).alias(name))
-    best = pick(eligible, "best")
-    rest = eligible.join(best, "decision_id").filter(F.col("handle") != F.col("best.handle"))
-    others = scored.filter(F.col("excluded_by").isNull() | (F.col("excluded_by") != BELOW)).join(best, "decision_id", "left").filter(F.col("best").isNull() | (F.col("handle") != F.col("best.handle")))
-    every = cands.select("decision_id").distinct()
-    wide = every.join(best, "decision_id", "left").join(pick(rest, "second"), "decision_id", "left").join(pick(others, "other"), "decision_id", "left")
+    # By decision and handle first, so that the best two of a decision have different handles.
+    eligible = F.col("excluded_by").isNull()
+    counts = eligible | (F.col("excluded_by") != BELOW)
+    by_handle = cands.groupBy("decision_id", "handle").agg(F.max(F.when(eligible, F.col("score"))).alias("own"), F.max(F.when(counts, F.col("score"))).alias("any"))
+    rank = lambda c: F.when(F.col(c).isNotNull(), F.struct((-F.col(c)).alias("s"), "handle"))
+    two = lambda c: F.slice(F.array_sort(F.collect_list(rank(c))), 1, 2)
+    lists = by_handle.groupBy("decision_id").agg(two("own").alias("eligible"), F.array_sort(F.collect_list(rank("any"))).alias("others"))
+    best = F.get("eligible", F.lit(0))
+    other = F.get(F.filter("others", lambda x: best.isNull() | (x["handle"] != best["handle"])), F.lit(0))
+    wide = lists.select("decision_id", best.alias("best"), F.get("eligible", F.lit(1)).alias("second"), other.alias("other"))
     margin = lambda c: F.bround(F.col(f"{c}.s") - F.col("best.s"), 6)
     return wide.select(
         "decision_id",

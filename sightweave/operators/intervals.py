@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -229,37 +229,49 @@ def interval_gaps(df: DataFrame, keys: list[str], lo: str, hi: str, tol: int, ke
     change nothing; a key with one period and an empty table give no row. Other columns are ignored.
     """
     names = [f"k{i}" for i in range(len(keys))]
+    out = _starts(df, keys, lo, hi, tol, key_limit).filter("gap_from is not null")
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "gap_from", F.col("since").alias("gap_to"))
+
+
+def _on(names: list[str], *more: str) -> Column:
+    """Equality (null being equal to null) with the columns of the same names after an underscore."""
+    on = F.lit(True)
+    for n in [*names, *more]:
+        on &= F.col(n).eqNullSafe(F.col(f"_{n}"))
+    return on
+
+
+def _starts(df: DataFrame, keys: list[str], lo: str, hi: str, tol: int, key_limit: int, ends: bool = False) -> DataFrame:
+    """k0.., part, since, gap_from, and with ends top: where periods start, the end of the one before (null: the first), and the key's last end."""
+    names = [f"k{i}" for i in range(len(keys))]
     lists = merged_lists(df, keys, lo, hi, tol, key_limit)
-    # The latest end in the ranges before; only rows of divided keys have any.
-    before = Window.partitionBy(*names).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = lists.filter("parts = 1").select(*names, "los", "his", F.lit(None).cast("long").alias("reach"))
+    # The latest end in the ranges before; only rows of divided keys have any, a row for each range.
+    over = Window.partitionBy(*names)
+    before = over.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = lists.filter("parts = 1").select(*names, "part", "los", "his", F.lit(None).cast("long").alias("reach"), *([F.array_max("his").alias("top")] if ends else []))
     divided = lists.filter("parts > 1")
-    ends = divided.select(*names, "part", F.array_max("his").alias("top")).withColumn("reach", F.max("top").over(before)).drop("top")
-    ends = ends.select(*[F.col(n).alias(f"_{n}") for n in names], F.col("part").alias("_part"), "reach")
-    on = F.col("part") == F.col("_part")
-    for n in names:
-        on &= F.col(n).eqNullSafe(F.col(f"_{n}"))
-    stitched = divided.join(ends, on).select(*names, "los", "his", "reach")
-    rows = whole.unionByName(stitched)
+    tops = divided.select(*names, "part", F.array_max("his").alias("top"))
+    reach = tops.select(*[F.col(n).alias(f"_{n}") for n in names], F.col("part").alias("_part"), F.max("top").over(before).alias("reach"), F.max("top").over(over).alias("top"))
+    stitched = divided.join(reach, _on(names, "part")).select(*names, "part", "los", "his", "reach", *(["top"] if ends else []))
     # Leading periods that the reach covers: within a disjoint list those are the ones not over the reach, unless one of them carries on.
     pairs = F.arrays_zip(F.col("los").alias("lo"), F.col("his").alias("hi"))
-    exploded = rows.select(*names, "reach", F.posexplode(pairs).alias("pos", "p"), "his")
-    prior = F.when(F.col("pos") > 0, F.col("his")[F.col("pos") - 1])
-    gap = exploded.select(*names, F.greatest(prior, F.col("reach")).alias("gap_from"), F.col("p.lo").alias("gap_to"))
-    out = gap.filter(F.col("gap_from").isNotNull() & (F.col("gap_to") > F.col("gap_from") + tol))
-    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "gap_from", "gap_to")
+    exploded = whole.unionByName(stitched).select(*names, "part", "reach", F.posexplode(pairs).alias("pos", "p"), "his", *(["top"] if ends else []))
+    prior = F.greatest(F.when(F.col("pos") > 0, F.col("his")[F.col("pos") - 1]), F.col("reach"))
+    begun = exploded.select(*names, "part", prior.alias("gap_from"), F.col("p.lo").alias("since"), *(["top"] if ends else []))
+    return begun.filter(F.col("gap_from").isNull() | (F.col("since") > F.col("gap_from") + tol))
 
 
 def interval_periods(df: DataFrame, keys: list[str], lo: str, hi: str, tol: int, key_limit: int = KEY_LIMIT) -> DataFrame:
-    """Continuous periods of each key: keys, period_from, period_to; the complement of interval_gaps, with its rules."""
+    """Continuous periods of each key: keys, period_from, period_to; the complement of interval_gaps, with its rules.
+
+    A period ends where the next gap begins: in its own range of the key, or at the first start of a
+    later range (ranges are few), or at the key's last end.
+    """
     names = [f"k{i}" for i in range(len(keys))]
-    renamed = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(lo).alias("lo"), F.col(hi).alias("hi")).filter("lo is not null and hi is not null")
-    gaps = interval_gaps(renamed, names, "lo", "hi", tol, key_limit)
-    extent = renamed.groupBy(*names).agg(F.min(F.least("lo", "hi")).alias("first"), F.max(F.greatest("lo", "hi")).alias("last"))
-    marks = gaps.select(*names, F.col("gap_from").alias("upto"), F.col("gap_to").alias("since"), F.lit(None).cast("long").alias("last")).unionByName(
-        extent.select(*names, F.lit(None).cast("long").alias("upto"), F.col("first").cast("long").alias("since"), F.col("last").cast("long"))
-    )
-    order = Window.partitionBy(*names).orderBy("since")
-    top = F.max("last").over(Window.partitionBy(*names))
-    out = marks.withColumn("period_to", F.coalesce(F.lead("upto").over(order), top))
-    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("since").alias("period_from"), "period_to")
+    starts = _starts(df, keys, lo, hi, tol, key_limit, ends=True)
+    within = Window.partitionBy(*names, "part").orderBy("since")
+    heads = starts.groupBy(*names, "part").agg(F.min_by("gap_from", "since").alias("first"))
+    after = Window.partitionBy(*names).orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    later = heads.select(*[F.col(n).alias(f"_{n}") for n in names], F.col("part").alias("_part"), F.first("first", ignorenulls=True).over(after).alias("later"))
+    ended = starts.withColumn("next", F.lead("gap_from").over(within)).join(later, _on(names, "part"))
+    return ended.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("since").alias("period_from"), F.coalesce("next", "later", "top").alias("period_to"))

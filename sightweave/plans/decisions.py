@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sightweave.operators import decision_log as log
+from sightweave.operators.ranks import counted, linear_percentiles
 from sightweave.session import table
 
 QUERIES: dict = {}
@@ -139,7 +140,8 @@ def bar_cut(spark, sf_dir):
     below = cands(spark, sf_dir).filter((F.col("excluded_by") == log.BELOW) & F.col("score").isNotNull())
     top = below.join(live(spark, sf_dir).filter("phase = 'same_camera'").select("decision_id"), "decision_id").groupBy("decision_id").agg(F.max("score").alias("m"))
     cuts = F.explode(F.array(*[F.lit(x) for x in (0.75, 0.80, 0.85, 0.88)]))
-    return top.select("m", cuts.alias("above")).groupBy("above").agg(F.count(F.lit(1)).alias("subjects"), F.count_if(F.col("m") > F.col("above")).alias("lost"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", 0.95), 6).alias("p95"))
+    sums = top.select("m", cuts.alias("above")).groupBy("above").agg(F.count(F.lit(1)).alias("subjects"), F.count_if(F.col("m") > F.col("above")).alias("lost"), F.round(F.avg("m"), 6).alias("mean"))
+    return sums.crossJoin(F.broadcast(linear_percentiles(top, [], "m", [0.95]).select(F.round(F.col("values")[0], 6).alias("p95"))))  # one row
 
 
 GAP = BASE + """, st AS (SELECT decision_id, score, lead(score) OVER (PARTITION BY decision_id ORDER BY score DESC, cand_id) AS nx FROM c WHERE score IS NOT NULL),
@@ -156,8 +158,10 @@ def natural_gap(spark, sf_dir):
 def clean_band(spark, sf_dir):
     """Whether one bar can part same from different, from the subjects with a clear gap."""
     rows = log.natural_gaps(cands(spark, sf_dir)).filter("gap > 0.05").join(live(spark, sf_dir).filter("phase = 'same_camera'").select("decision_id"), "decision_id")
-    low, high = F.percentile("lower_edge", 0.95), F.percentile("upper_edge", 0.05)
-    return rows.agg(F.count(F.lit(1)).alias("subjects"), F.round(low, 6).alias("band_low"), F.round(high, 6).alias("band_high"), (low < high).alias("clean"))
+    edges = rows.select(F.explode(F.array(F.struct(F.lit(0).alias("edge"), F.col("lower_edge").alias("v")), F.struct(F.lit(1).alias("edge"), F.col("upper_edge").alias("v")))).alias("e")).select("e.*")
+    cut = linear_percentiles(edges, ["edge"], "v", [0.95, 0.05])
+    low, high = F.max(F.when(F.col("edge") == 0, F.col("values")[0])), F.max(F.when(F.col("edge") == 1, F.col("values")[1]))
+    return cut.agg(F.coalesce(F.max("n"), F.lit(0)).alias("subjects"), F.round(low, 6).alias("band_low"), F.round(high, 6).alias("band_high"), (low < high).alias("clean"))
 
 
 @query(f"WITH {GAP} SELECT gate_detail['ABSOLUTE_THRESHOLD'].gate_threshold AS bar, count(*) AS subjects, count(*) FILTER (gate_detail['ABSOLUTE_THRESHOLD'].gate_threshold::DOUBLE > upper_edge) AS above FROM ng JOIN live USING (decision_id) WHERE phase = 'same_camera' AND gap > 0.05 GROUP BY ALL")
@@ -240,16 +244,17 @@ def strictest_bar(spark, sf_dir):
 def percentiles(spark, sf_dir):
     """Linear percentiles of scores by context; equal scores are counted together, so hot groups stay small."""
     rows = cands(spark, sf_dir).filter("score is not null").join(decs(spark, sf_dir).select("decision_id", "context"), "decision_id")
-    p = lambda x: F.round(F.percentile("score", x), 6)
-    return rows.groupBy("context").agg(F.count("score").alias("n"), *[p(x / 100).alias(f"p{x}") for x in (5, 25, 50, 75, 95)])
+    cuts = (5, 25, 50, 75, 95)
+    return linear_percentiles(rows, ["context"], "score", [x / 100 for x in cuts]).select("context", "n", *[F.round(F.col("values")[i], 6).alias(f"p{x}") for i, x in enumerate(cuts)])
 
 
 @query(f"WITH {BASE} SELECT round(quantile_cont(score, 0.05) FILTER (accepted_partner = c.handle), 6) AS same_p5, round(quantile_cont(score, 0.95) FILTER (accepted_partner IS DISTINCT FROM c.handle), 6) AS other_p95, round(quantile_cont(score, 0.05) FILTER (accepted_partner = c.handle) - quantile_cont(score, 0.95) FILTER (accepted_partner IS DISTINCT FROM c.handle), 6) AS margin FROM c JOIN d USING (decision_id) WHERE score IS NOT NULL")
 def separation_margin(spark, sf_dir):
     rows = cands(spark, sf_dir).filter("score is not null").join(decs(spark, sf_dir).select("decision_id", "accepted_partner"), "decision_id")
     same = F.coalesce(F.col("accepted_partner") == F.col("handle"), F.lit(False))
-    p5, p95 = F.percentile(F.when(same, F.col("score")), 0.05), F.percentile(F.when(~same, F.col("score")), 0.95)
-    return rows.agg(F.round(p5, 6).alias("same_p5"), F.round(p95, 6).alias("other_p95"), F.round(p5 - p95, 6).alias("margin"))
+    both = linear_percentiles(rows.withColumn("same", same), ["same"], "score", [0.05, 0.95])
+    p5, p95 = F.max(F.when(F.col("same"), F.col("values")[0])), F.max(F.when(~F.col("same"), F.col("values")[1]))
+    return both.agg(F.round(p5, 6).alias("same_p5"), F.round(p95, 6).alias("other_p95"), F.round(p5 - p95, 6).alias("margin"))
 
 
 @query(f"WITH {BASE} SELECT bar, round(avg((score >= bar)::INT) FILTER (accepted_partner = c.handle), 6) AS same_rate, round(avg((score >= bar)::INT) FILTER (accepted_partner IS DISTINCT FROM c.handle), 6) AS other_rate FROM c JOIN d USING (decision_id), (SELECT unnest([0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9])::DOUBLE AS bar) WHERE score IS NOT NULL GROUP BY bar")
@@ -263,12 +268,13 @@ def operating_points(spark, sf_dir):
 
 @query(
     f"""WITH {BASE}, x AS (SELECT score, coalesce(accepted_partner = c.handle, false) AS same FROM c JOIN d USING (decision_id) WHERE score IS NOT NULL), v AS (SELECT score, count(*) FILTER (same) AS p, count(*) FILTER (NOT same) AS q FROM x GROUP BY score),
-w AS (SELECT *, coalesce(sum(q) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM v) SELECT round(sum(p * (below + q / 2.0))::DOUBLE / (sum(p) * sum(q))::DOUBLE, 6) AS auc, sum(p)::BIGINT AS same_pairs, sum(q)::BIGINT AS other_pairs FROM w"""
+w AS (SELECT *, coalesce(sum(q) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM v) SELECT round(sum(p * (below + q / 2.0))::DOUBLE / (sum(p) * sum(q))::DOUBLE, 6) AS auc, sum(p)::BIGINT AS same_pairs, sum(q)::BIGINT AS other_pairs, round(sum(score * p) / sum(p) - sum(score * q) / sum(q), 6) AS mean_gap FROM w"""
 )
 def auc(spark, sf_dir):
-    """Chance that a same pair outscores another, exactly, from counts of distinct scores in six places."""
+    """Chance that a same pair outscores another, exactly, from counts of distinct scores, and how far the means of both lie apart."""
     rows = cands(spark, sf_dir).filter("score is not null").join(decs(spark, sf_dir).select("decision_id", "accepted_partner"), "decision_id")
     same = F.coalesce(F.col("accepted_partner") == F.col("handle"), F.lit(False))
-    values = rows.groupBy("score").agg(F.count_if(same).alias("p"), F.count_if(~same).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return values.withColumn("below", below).agg(F.round(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q")), 6).alias("auc"), F.sum("p").alias("same_pairs"), F.sum("q").alias("other_pairs"))
+    values = counted(rows, [], "score", {"p": F.count_if(same), "q": F.count_if(~same)})
+    rate = F.sum(F.col("p") * (F.col("below_q") + F.col("q") / 2)) / (F.sum("p").cast("double") * F.sum("q"))
+    mean = lambda n: F.sum(F.col("score") * F.col(n)) / F.sum(n)
+    return values.agg(F.round(rate, 6).alias("auc"), F.sum("p").alias("same_pairs"), F.sum("q").alias("other_pairs"), F.round(mean("p") - mean("q"), 6).alias("mean_gap"))

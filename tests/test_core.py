@@ -213,3 +213,31 @@ def test_core_needs_no_llm():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "sightweave.llm" not in p.read_text(), p
+
+
+def test_components_of_a_dealt_hub(spark, monkeypatch):
+    from sightweave.operators import components
+
+    monkeypatch.setattr(components, "HUB", 20)
+    edges = [(0, i) for i in range(1, 90)] + [(i, i + 1000) for i in range(1, 60)] + [(5000, 5001)]
+    got = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got.values()) == {0, 5000} and got[1059] == 0 and len(got) == 151
+
+
+def test_percentiles_over_ranges(spark):
+    from sightweave.operators.ranks import counted, linear_percentiles
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([0.5, rng.random(), None])) for _ in range(700)] + [("lone", 2.0), ("void", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r["g"]: (r["n"], r["values"]) for r in linear_percentiles(df, ["g"], "v", [0.0, 0.05, 0.5, 1.0]).collect()}
+    for g in ("a", "b", None, "lone"):
+        v = [x for h, x in rows if h == g and x is not None]
+        assert got[g][0] == len(v) and np.allclose(got[g][1], np.quantile(v, [0.0, 0.05, 0.5, 1.0]))
+    assert "void" not in got
+    one = linear_percentiles(df, [], "v", [0.3]).first()
+    every = [x for _, x in rows if x is not None]
+    assert one["n"] == len(every) and abs(one["values"][0] - np.quantile(every, 0.3)) < 1e-12
+    low = {r["v"]: r["below_n"] for r in counted(df, [], "v", {"n": F.count(F.lit(1))}).collect()}
+    assert all(b == sum(x < v for x in every) for v, b in low.items())
+    assert linear_percentiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
