@@ -86,9 +86,9 @@ def natural_gaps(cands: DataFrame) -> DataFrame:
 
 
 def camera_pairs(decs: DataFrame, cands: DataFrame) -> DataFrame:
-    """cam_a, cam_b, considered, merged, excluded of each unordered pair of cameras in cross-camera decisions."""
+    """cam_a, cam_b, considered, merged, excluded (and how often by each reason) of each unordered pair of cameras in cross-camera decisions."""
     own = decs.filter("phase = 'cross_camera'").select("decision_id", "accepted_partner", F.explode(F.array_distinct("cameras")).alias("mine"))
     theirs = cands.select("decision_id", "handle", "excluded_by", F.explode(F.array_distinct("cameras")).alias("other"))
     both = own.join(theirs, "decision_id").filter("mine <> other")
     keyed = both.groupBy(F.least("mine", "other").alias("cam_a"), F.greatest("mine", "other").alias("cam_b"))
-    return keyed.agg(F.count(F.lit(1)).alias("considered"), F.count_if(F.col("accepted_partner") == F.col("handle")).alias("merged"), F.count_if(F.col("excluded_by").isNotNull()).alias("excluded"))
+    return keyed.agg(F.count(F.lit(1)).alias("considered"), F.count_if(F.col("accepted_partner") == F.col("handle")).alias("merged"), F.count_if(F.col("excluded_by").isNotNull()).alias("excluded"), *[F.count_if(F.col("excluded_by") == x).alias(x.lower()) for x in EXCLUSIONS])

@@ -108,7 +108,7 @@ def observations_per_camera(spark, sf_dir):
 
 @query(
     f"""WITH {BASE}, m AS (SELECT decision_id, accepted_partner, unnest(list_distinct(cameras)) AS mine FROM d WHERE phase = 'cross_camera'), o AS (SELECT decision_id, handle, excluded_by, unnest(list_distinct(cameras)) AS other FROM c)
-SELECT least(mine, other) AS cam_a, greatest(mine, other) AS cam_b, count(*) AS considered, count(*) FILTER (accepted_partner = handle) AS merged, count(excluded_by) AS excluded FROM m JOIN o USING (decision_id) WHERE mine <> other GROUP BY ALL"""
+SELECT least(mine, other) AS cam_a, greatest(mine, other) AS cam_b, count(*) AS considered, count(*) FILTER (accepted_partner = handle) AS merged, count(excluded_by) AS excluded, {", ".join(f"count(*) FILTER (excluded_by = '{x}') AS {x.lower()}" for x in log.EXCLUSIONS)} FROM m JOIN o USING (decision_id) WHERE mine <> other GROUP BY ALL"""
 )
 def camera_pair_stats(spark, sf_dir):
     return log.camera_pairs(decs(spark, sf_dir), cands(spark, sf_dir))

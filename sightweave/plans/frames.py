@@ -170,6 +170,23 @@ def palette(spark, sf_dir):
     return rows.select("det_id", scoring.palette_index(F.coalesce("reid_id", "global_id")).alias("colour"), label.alias("label"))
 
 
+_TOGETHER = D + """, s AS (SELECT DISTINCT run_id, cam, frame_index, track_id FROM d WHERE track_id IS NOT NULL), tl AS (SELECT run_id, cam, track_id, count(*) AS n FROM s GROUP BY ALL HAVING count(*) >= 3),
+tg AS (SELECT x.run_id, x.cam, x.track_id AS track_a, y.track_id AS track_b FROM s x JOIN s y ON x.run_id = y.run_id AND x.cam = y.cam AND x.frame_index = y.frame_index AND x.track_id < y.track_id GROUP BY ALL)"""
+
+
+@query(f"WITH {_TOGETHER} SELECT x.run_id, x.cam, x.track_id, count(y.track_id) - count(tg.track_b) AS maybe_same, count(tg.track_b) AS different FROM tl x LEFT JOIN tl y ON x.run_id = y.run_id AND x.cam = y.cam AND x.track_id <> y.track_id LEFT JOIN tg ON tg.run_id = x.run_id AND tg.cam = x.cam AND tg.track_a = least(x.track_id, y.track_id) AND tg.track_b = greatest(x.track_id, y.track_id) GROUP BY ALL")
+def distinct_partners(spark, sf_dir):
+    """Of each track of three frames or more, the tracks of its camera proven different by a common frame, and the complement; pairs are counted, not listed."""
+    s = seen(spark, sf_dir).filter("track_id is not null").select("run_id", "cam", "frame_index", "track_id").distinct()
+    long = s.groupBy("run_id", "cam", "track_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").drop("n")
+    kept = s.join(long, ["run_id", "cam", "track_id"])
+    other = kept.withColumnRenamed("track_id", "other")
+    met = kept.join(other, ["run_id", "cam", "frame_index"]).filter("track_id <> other").groupBy("run_id", "cam", "track_id").agg(F.countDistinct("other").alias("different"))
+    total = long.groupBy("run_id", "cam").agg(F.count(F.lit(1)).alias("all_tracks"))
+    out = long.join(total, ["run_id", "cam"]).join(met, ["run_id", "cam", "track_id"], "left").withColumn("different", F.coalesce("different", F.lit(0)))
+    return out.select("run_id", "cam", "track_id", (F.col("all_tracks") - 1 - F.col("different")).alias("maybe_same"), "different")
+
+
 @query(f"WITH {FR} SELECT run_id, cam, epoch_us(ts) // 1000000 AS tick, max(frame_index) AS frame_index, count(*) - 1 AS dropped FROM f GROUP BY ALL")
 def newest_slot(spark, sf_dir):
     """The newest frame of each camera and second; the others were overwritten."""

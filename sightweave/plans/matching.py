@@ -11,6 +11,7 @@ from sightweave.functions import scoring
 from sightweave.functions.vectors import dot, prototypes, unit
 from sightweave.operators import tracklets as trk
 from sightweave.operators.pairs import best_labels, nearest_exact, similar_pairs
+from sightweave.operators.ranks import linear_percentiles
 from sightweave.operators.rerank import reranked
 from sightweave.plans.identity import CFG, DIM, OBS, PROTO, obs
 from sightweave.session import table
@@ -73,6 +74,46 @@ def bank_score(spark, sf_dir):
     return newest.join(prototypes(bank, ["run_id", "gid"], "unit_vector", DIM), ["run_id", "gid"]).join(best, ["run_id", "gid"]).select("run_id", "gid", F.round(F.greatest("best", dot(F.col("q"), F.col("prototype"))), 6).alias("score"))
 
 
+_HELD = (
+    OBS
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY run_id, gid ORDER BY frame_index, det_id) AS i, count(*) OVER (PARTITION BY run_id, gid) AS n FROM obs WHERE gid > 0), q AS (SELECT * FROM r WHERE n >= 4 AND i > n // 2),
+bk AS (SELECT run_id, gid, u FROM r WHERE n >= 4 AND i <= n // 2 AND i > n // 2 - 20), xs AS (SELECT run_id, gid, unnest(u) AS x, generate_subscripts(u, 1) AS j FROM bk), sm AS (SELECT run_id, gid, j, sum(x) AS x FROM xs GROUP BY ALL), pt AS (SELECT run_id, gid, list(x ORDER BY j) AS w FROM sm GROUP BY ALL),
+ex AS (SELECT q.det_id, list(list_dot_product(q.u, b.u) ORDER BY list_dot_product(q.u, b.u) DESC) AS ds FROM q JOIN bk b ON b.run_id = q.run_id AND b.gid = q.gid GROUP BY q.det_id),
+md AS (SELECT q.run_id, q.gid, q.det_id, list_dot_product(q.u, pt.w) / sqrt(list_dot_product(pt.w, pt.w)) AS prototype, ds[1] AS max_exemplar, list_avg(ds[1:greatest(1, round_even(len(ds) * 0.25, 0))::BIGINT]) AS consensus FROM q JOIN pt ON pt.run_id = q.run_id AND pt.gid = q.gid JOIN ex ON ex.det_id = q.det_id)"""
+)
+
+
+def held_out_scores(observations):
+    """run_id, gid, det_id and the three scores of the later half of each identity's observations against the last 20 of its earlier half."""
+    by = Window.partitionBy("run_id", "gid")
+    ranked = observations.filter("gid > 0").withColumn("i", F.row_number().over(by.orderBy("frame_index", "det_id"))).withColumn("n", F.count(F.lit(1)).over(by)).filter("n >= 4")
+    half = F.floor(F.col("n") / 2)
+    bank = ranked.filter((F.col("i") <= half) & (F.col("i") > half - 20)).select("run_id", "gid", "unit_vector")
+    lists = bank.groupBy("run_id", "gid").agg(F.collect_list("unit_vector").alias("bank"))  # 20 at most
+    queries = ranked.filter(F.col("i") > half).select("run_id", "gid", "det_id", F.col("unit_vector").alias("q"))
+    both = queries.join(lists, ["run_id", "gid"]).join(prototypes(bank, ["run_id", "gid"], "unit_vector", DIM), ["run_id", "gid"])
+    scores = F.reverse(F.array_sort(F.transform("bank", lambda b: dot(F.col("q"), b))))
+    top = F.greatest(F.lit(1), F.rint(F.size("bank") * CFG.top_frac).cast("int"))
+    named = both.select("run_id", "gid", "det_id", dot(F.col("q"), F.col("prototype")).alias("prototype"), scores.alias("s"), top.alias("top"))
+    return named.select("run_id", "gid", "det_id", "prototype", F.col("s")[0].alias("max_exemplar"), (F.aggregate(F.slice("s", 1, F.col("top")), F.lit(0.0), lambda a, x: a + x) / F.col("top")).alias("consensus"))
+
+
+@query(f"WITH {_HELD} SELECT det_id, round(prototype, 6) AS prototype, round(max_exemplar, 6) AS max_exemplar, round(consensus, 6) AS consensus FROM md")
+def held_out_bank(spark, sf_dir):
+    """Observations against the bank of their identity from before."""
+    out = held_out_scores(obs(spark, sf_dir))
+    return out.select("det_id", *[F.round(c, 6).alias(c) for c in ("prototype", "max_exemplar", "consensus")])
+
+
+@query(f"WITH {_HELD}, un AS (SELECT run_id, unnest(['prototype', 'max_exemplar', 'consensus']) AS mode, unnest([prototype, max_exemplar, consensus]) AS s FROM md) SELECT run_id, mode, count(*) AS n, round(quantile_cont(s, 0.05), 6) AS p5, round(quantile_cont(s, 0.5), 6) AS median, round(quantile_cont(s, 0.95), 6) AS p95 FROM un GROUP BY ALL")
+def scores_by_mode(spark, sf_dir):
+    """Distribution of the held-out scores under each way of scoring."""
+    modes = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("s")) for m in ("prototype", "max_exemplar", "consensus")])).alias("m")
+    long = held_out_scores(obs(spark, sf_dir)).select("run_id", modes).select("run_id", "m.mode", "m.s")
+    cuts = linear_percentiles(long, ["run_id", "mode"], "s", [0.05, 0.5, 0.95])
+    return cuts.select("run_id", "mode", "n", *[F.round(F.col("values")[i], 6).alias(name) for i, name in enumerate(("p5", "median", "p95"))])
+
+
 def set_scores(observations, mode):
     """Every two tracks of a camera whose spans are disjoint, on at most CFG.cap even rows a side, as the reconcile scores them."""
     tracks = trk.with_prototypes(observations, DIM, 1)
@@ -175,14 +216,17 @@ _NN = (
     + """, k AS (SELECT p.*, (row_number() OVER (PARTITION BY run_id ORDER BY cam, track_id) - 1) AS key FROM p), ga AS (SELECT run_id, cam, track_id, list_distinct(list(gid)) AS gids FROM obs WHERE gid IS NOT NULL GROUP BY ALL),
 pa AS (SELECT x.run_id, x.key AS a, y.key AS b, x.cam AS ca, y.cam AS cb, list_dot_product(x.proto, y.proto) AS s FROM k x JOIN k y ON x.run_id = y.run_id AND x.cam <> y.cam WHERE list_dot_product(x.proto, y.proto) >= 0.5),
 be AS (SELECT * FROM pa QUALIFY row_number() OVER (PARTITION BY run_id, a ORDER BY s DESC, b DESC) = 1), mu AS (SELECT x.* FROM be x JOIN be y ON x.run_id = y.run_id AND x.b = y.a AND y.b = x.a WHERE x.a < x.b),
-fm AS (SELECT mu.run_id, s, coalesce(list_has_any(g1.gids, g2.gids), false) AS same FROM mu JOIN k k1 ON k1.run_id = mu.run_id AND k1.key = a JOIN k k2 ON k2.run_id = mu.run_id AND k2.key = b LEFT JOIN ga g1 ON g1.run_id = k1.run_id AND g1.cam = k1.cam AND g1.track_id = k1.track_id LEFT JOIN ga g2 ON g2.run_id = k2.run_id AND g2.cam = k2.cam AND g2.track_id = k2.track_id)"""
+fm AS (SELECT mu.run_id, a, b, s, coalesce(list_has_any(g1.gids, g2.gids), false) AS same FROM mu JOIN k k1 ON k1.run_id = mu.run_id AND k1.key = a JOIN k k2 ON k2.run_id = mu.run_id AND k2.key = b LEFT JOIN ga g1 ON g1.run_id = k1.run_id AND g1.cam = k1.cam AND g1.track_id = k1.track_id LEFT JOIN ga g2 ON g2.run_id = k2.run_id AND g2.cam = k2.cam AND g2.track_id = k2.track_id),
+rr AS (SELECT *, row_number() OVER (PARTITION BY run_id, cam, track_id ORDER BY frame_index, det_id) - 1 AS i, count(*) OVER (PARTITION BY run_id, cam, track_id) AS n FROM obs), jj AS (SELECT unnest(range(64)) AS j), sr AS (SELECT DISTINCT run_id, cam, track_id, det_id, u FROM rr, jj WHERE n <= 64 OR i = round_even(j * ((n - 1) / 63.0), 0)::BIGINT),
+bx AS (SELECT fm.run_id, fm.a, fm.b, any_value(fm.s) AS s, any_value(fm.same) AS same, max(list_dot_product(x.u, y.u)) AS be FROM fm JOIN k k1 ON k1.run_id = fm.run_id AND k1.key = a JOIN k k2 ON k2.run_id = fm.run_id AND k2.key = b JOIN sr x ON x.run_id = k1.run_id AND x.cam = k1.cam AND x.track_id = k1.track_id JOIN sr y ON y.run_id = k2.run_id AND y.cam = k2.cam AND y.track_id = k2.track_id GROUP BY fm.run_id, fm.a, fm.b)"""
 )
 
 
-@query(f"WITH {_NN} SELECT CASE WHEN same THEN 'merged' WHEN s >= 0.7 THEN 'decision' ELSE 'below' END AS mode, count(*) AS n, round(avg(s), 6) AS mean FROM fm GROUP BY ALL")
+@query(f"WITH {_NN} SELECT CASE WHEN same THEN 'merged' WHEN s >= 0.7 THEN 'decision' WHEN be >= 0.7 THEN 'averaging' ELSE 'below' END AS mode, count(*) AS n, round(avg(s), 6) AS mean, count(*) FILTER (s < 0.7 AND be >= 0.7) AS flips FROM bx GROUP BY ALL")
 def failure_modes(spark, sf_dir):
-    """What became of tracks of different cameras that are each other's nearest: one id, over the bar but apart, or below it."""
-    kept = trk.with_prototypes(obs(spark, sf_dir), DIM, CFG.min_observations)
+    """What became of tracks of different cameras that are each other's nearest: one id, over the bar but apart, lost by averaging (only single rows are over the bar), or below it."""
+    observed = obs(spark, sf_dir)
+    kept = trk.with_prototypes(observed, DIM, CFG.min_observations)
     key = (F.row_number().over(Window.partitionBy("run_id").orderBy("cam", "track_id")) - 1).cast("long")
     keyed = kept.withColumn("key", key)
     pairs = similar_pairs(keyed, "run_id", "key", "prototype", 0.5)
@@ -192,8 +236,12 @@ def failure_modes(spark, sf_dir):
     from sightweave.operators.reconcile import best_partners, mutual
 
     pairs_ = mutual(best_partners(cross)).join(cross.select("run_id", "a", "b", "g1", "g2"), ["run_id", "a", "b"])
-    mode = F.when(F.coalesce(F.arrays_overlap("g1", "g2"), F.lit(False)), "merged").when(F.col("score") >= CFG.cross_bar, "decision").otherwise("below")
-    return pairs_.groupBy(mode.alias("mode")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"))
+    rows = trk.even_rows(observed, trk.KEY, ["frame_index", "det_id"], CFG.cap).join(keyed.select(*trk.KEY, "key"), trk.KEY).select("run_id", "key", "unit_vector")
+    of = lambda n: rows.select("run_id", F.col("key").alias(n), F.col("unit_vector").alias(f"u{n}"))
+    best = pairs_.select("run_id", "a", "b").join(of("a"), ["run_id", "a"]).join(of("b"), ["run_id", "b"]).groupBy("run_id", "a", "b").agg(F.max(dot(F.col("ua"), F.col("ub"))).alias("single"))
+    over = lambda c: F.col(c) >= CFG.cross_bar
+    mode = F.when(F.coalesce(F.arrays_overlap("g1", "g2"), F.lit(False)), "merged").when(over("score"), "decision").when(over("single"), "averaging").otherwise("below")
+    return pairs_.join(best, ["run_id", "a", "b"]).groupBy(mode.alias("mode")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.count_if(~over("score") & over("single")).alias("flips"))
 
 
 def medoids(pdf: pd.DataFrame, bar: float = 0.75, most: int = 6) -> pd.DataFrame:
