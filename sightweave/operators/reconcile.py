@@ -119,16 +119,16 @@ def _ordered_unions(edges: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
 
     done = []
     pairs = {(min(a, b), max(a, b)): s for a, b, s in zip(edges["me"], edges["partner"], edges["score"])}
-    for (a, b), _ in sorted(pairs.items(), key=lambda kv: (kv[1], *kv[0]), reverse=True):
+    for (a, b), score in sorted(pairs.items(), key=lambda kv: (kv[1], *kv[0]), reverse=True):
         x, y = find(a), find(b)
         if x == y or any(c == d and not (e1 < s2 or e2 < s1) for c, s1, e1 in spans[x] for d, s2, e2 in spans[y]):
             continue
         x, y = min(x, y), max(x, y)
         spans[x] += spans.pop(y)
         root[y] = x
-        done.append(y)
+        done.append((y, score))
     run = members["run_id"].iloc[0] if len(members) else edges["run_id"].iloc[0]
-    return pd.DataFrame({"run_id": run, "old": done, "new": [find(y) for y in done]}).astype({"old": "int64", "new": "int64"})
+    return pd.DataFrame({"run_id": run, "old": [y for y, _ in done], "new": [find(y) for y, _ in done], "score": [s for _, s in done]}).astype({"old": "int64", "new": "int64", "score": "float64"})
 
 
 def _rounds_of_run(pdf: pd.DataFrame, cfg: ReconcileConfig) -> pd.DataFrame:
@@ -146,8 +146,9 @@ def _rounds_of_run(pdf: pd.DataFrame, cfg: ReconcileConfig) -> pd.DataFrame:
     x, y = np.nonzero(collide)
     conflict[own[x], own[y]] = True
     inside[own, np.searchsorted(names, cam)] = True
-    alive = np.ones(n, bool)
+    alive, merged, rounds = np.ones(n, bool), {}, 0
     while True:  # every round but the last makes a union
+        rounds += 1
         at = np.flatnonzero(alive)
         sums = np.zeros((n, v.shape[1]))
         np.add.at(sums, own, v)
@@ -172,15 +173,21 @@ def _rounds_of_run(pdf: pd.DataFrame, cfg: ReconcileConfig) -> pd.DataFrame:
         for i, j in pairs:
             a, b = at[i], at[j]
             own[own == b] = a
+            merged[roots[b]] = (float(score[i, j]), rounds)
             alive[b] = False
             conflict[a] |= conflict[b]
             conflict[:, a] |= conflict[:, b]
             inside[a] |= inside[b]
-    return pd.DataFrame({"run_id": pdf["run_id"], "key": pdf["key"], "final": roots[own]})
+    at = [merged.get(k, (None, None)) for k in pdf["key"]]
+    return pd.DataFrame({"run_id": pdf["run_id"], "key": pdf["key"], "final": roots[own], "merge_score": [m[0] for m in at], "merge_round": pd.array([m[1] for m in at], dtype="Int32")})
 
 
 def cluster_tracklets(obs: DataFrame, cfg: ReconcileConfig, dim: int, run_limit: int = RUN_LIMIT) -> tuple[DataFrame, int]:
-    """Members (run_id, key, cam, track_id, span, observations, gids, root) of all clusters, and the number of rounds."""
+    """Members (run_id, key, cam, track_id, span, observations, gids, root) of all clusters, and the number of rounds.
+
+    The tracklet that a cluster was called after has merge_score and merge_round of the union in which
+    the cluster went up in another one.
+    """
     kept = with_prototypes(obs, dim, cfg.min_observations)
     key = F.row_number().over(Window.partitionBy("run_id").orderBy("cam", "track_id")) - 1
     keyed = cut(kept.withColumn("key", key.cast("long")))
@@ -197,25 +204,29 @@ def cluster_tracklets(obs: DataFrame, cfg: ReconcileConfig, dim: int, run_limit:
         # Runs of up to RUN_LIMIT tracklets take one task each; the joined form below does the larger ones.
         sizes = members.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
         small = members.join(sizes.filter(F.col("n") <= run_limit).select("run_id"), "run_id", "left_semi")
-        settled = small.select("run_id", "key", "cam", "first_frame", "last_frame", "prototype", "root").groupBy("run_id").applyInPandas(lambda pdf: _rounds_of_run(pdf, cfg), "run_id string, key long, final long")
+        settled = small.select("run_id", "key", "cam", "first_frame", "last_frame", "prototype", "root").groupBy("run_id").applyInPandas(lambda pdf: _rounds_of_run(pdf, cfg), "run_id string, key long, final long, merge_score double, merge_round int")
         done = small.join(settled, ["run_id", "key"]).withColumn("root", F.col("final")).drop("final")
         members = members.join(sizes.filter(F.col("n") > run_limit).select("run_id"), "run_id", "left_semi")
         if members.isEmpty():
             return cut(done), 1
     else:
         done = None
+    members = members.withColumns({"merge_score": F.lit(None).cast("double"), "merge_round": F.lit(None).cast("int")})
     while True:  # every round but the last makes a union
         rounds += 1
         best = best_partners(candidate_edges(members, cfg, dim, rows))
         if cfg.reciprocal:
-            moves = mutual(best).select("run_id", F.col("b").alias("old"), F.col("a").alias("new"))
+            moves = mutual(best).select("run_id", F.col("b").alias("old"), F.col("a").alias("new"), "score")
         else:
             spans = members.select("run_id", "root", "cam", "first_frame", "last_frame")
-            moves = best.groupBy("run_id").cogroup(spans.groupBy("run_id")).applyInPandas(_ordered_unions, "run_id string, old long, new long")
+            moves = best.groupBy("run_id").cogroup(spans.groupBy("run_id")).applyInPandas(_ordered_unions, "run_id string, old long, new long, score double")
         moves = cut(moves)
         if moves.isEmpty():
             break
-        members = cut(members.join(moves.withColumnRenamed("old", "root"), ["run_id", "root"], "left").withColumn("root", F.coalesce("new", "root")).drop("new"))
+        joined = members.join(moves.withColumnRenamed("old", "root"), ["run_id", "root"], "left")
+        here = F.col("new").isNotNull() & (F.col("key") == F.col("root"))  # a cluster that ends is named on the tracklet it is called after
+        told = joined.withColumns({"merge_score": F.when(here, F.col("score")).otherwise(F.col("merge_score")), "merge_round": F.when(here, F.lit(rounds)).otherwise(F.col("merge_round"))})
+        members = cut(told.withColumn("root", F.coalesce("new", "root")).drop("new", "score"))
     return (members if done is None else cut(members.unionByName(done.select(*members.columns)))), rounds
 
 
@@ -257,11 +268,18 @@ def relabel(boxes: DataFrame, identity_map: DataFrame) -> DataFrame:
     return boxes.join(identity_map.select(*KEY, F.col("identity").alias("final_id")), KEY, "left")
 
 
-def sweep(obs: DataFrame, configs: dict[str, ReconcileConfig], dim: int = 128) -> DataFrame:
-    """Shape of the clusters under each setting: setting, run_id, identities, largest, multi_camera."""
+#: A union of clusters of a score below this is doubtful.
+CEILING = 0.661
+
+
+def sweep(obs: DataFrame, configs: dict[str, ReconcileConfig], dim: int = 128, ceiling: float = CEILING) -> DataFrame:
+    """Shape of the clusters under each setting: setting, run_id, identities, largest, multi_camera, and of the unions across cameras their number, how many are below the ceiling, and the least score."""
     out = None
     for name, cfg in configs.items():
-        ids = reconcile(obs, cfg, dim).filter("identity is not null").groupBy("run_id", "identity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cam").alias("cams"))
-        shape = ids.groupBy("run_id").agg(F.count(F.lit(1)).alias("identities"), F.max("n").alias("largest"), F.count_if(F.col("cams") > 1).alias("multi_camera")).select(F.lit(name).alias("setting"), "*")
+        members, _ = cluster_tracklets(obs, cfg, dim)
+        merges = [F.count("merge_score").alias("m"), F.count_if(F.col("merge_score") < ceiling).alias("low"), F.min("merge_score").alias("least")]
+        ids = members.groupBy("run_id", "root").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cam").alias("cams"), *merges)
+        shape = ids.groupBy("run_id").agg(F.count(F.lit(1)).alias("identities"), F.max("n").alias("largest"), F.count_if(F.col("cams") > 1).alias("multi_camera"), F.sum("m").alias("cross_merges"), F.sum("low").alias("below_ceiling"), F.round(F.min("least"), 6).alias("least_score"))
+        shape = shape.select(F.lit(name).alias("setting"), "*")
         out = shape if out is None else out.unionByName(shape)
     return out

@@ -235,14 +235,34 @@ def suppressed_records(spark, sf_dir):
     return records(trk.tracklets(obs(spark, sf_dir)), CFG).drop("gates_failed")
 
 
-@query()
+GRID = {f"same {same:.2f} cross {cross:.2f}": (same, cross) for same, cross in ((0.90, 0.63), (0.90, 0.70), (0.90, 0.75), (0.90, 0.80), (0.85, 0.70))}
+
+
+def _shape_sql(name: str, same: float, cross: float) -> str:
+    sums = "count(ms) AS m, count(*) FILTER (ms < 0.661) AS low, min(ms) AS least"
+    return f"""SELECT * FROM ({reconcile_ctes(PROTO, same, cross)} SELECT '{name}' AS setting, run_id, count(*) AS identities, max(n) AS largest, count(*) FILTER (cams > 1) AS multi_camera, sum(m)::BIGINT AS cross_merges, sum(low)::BIGINT AS below_ceiling, round(min(least), 6) AS least_score
+FROM (SELECT f.run_id, f.root, count(*) AS n, count(DISTINCT k.cam) AS cams, {sums} FROM final f JOIN k ON k.run_id = f.run_id AND k.key = f.key GROUP BY f.run_id, f.root) GROUP BY run_id)"""
+
+
+@query(" UNION ALL ".join(_shape_sql(name, *bars) for name, bars in GRID.items()))
 def sweep_grid(spark, sf_dir):
+    """The shape of the clusters over a grid of bars."""
+    from dataclasses import replace
+
+    from sightweave.session import cut
+
+    return rec.sweep(cut(obs(spark, sf_dir)), {name: replace(CFG, same_bar=same, cross_bar=cross) for name, (same, cross) in GRID.items()}, DIM)
+
+
+@query()
+def sweep_modes(spark, sf_dir):
+    """The same for each way of scoring, with a camera of its own bar."""
     from dataclasses import replace
 
-    grid = {f"same {s:.2f} cross {c:.2f}": replace(CFG, same_bar=s, cross_bar=c) for s in (0.85, 0.90) for c in (0.70, 0.80)}
     from sightweave.session import cut
 
-    return rec.sweep(cut(obs(spark, sf_dir)), grid, DIM)
+    settings = {mode: replace(CFG, scoring=mode) for mode in ("prototype", "max_exemplar", "consensus")} | {"cam_01 0.80": replace(CFG, bars={"cam_01": 0.80})}
+    return rec.sweep(cut(obs(spark, sf_dir)), settings, DIM)
 
 
 @query(f"{_FINAL} SELECT det_id, d.run_id, d.cam, d.track_id, d.frame_index, ri.identity AS final_id FROM d LEFT JOIN ri ON ri.run_id = d.run_id AND ri.cam = d.cam AND ri.track_id = d.track_id WHERE d.track_id IS NOT NULL")

@@ -21,17 +21,17 @@ g1 AS (SELECT run_id, cam, 0::BIGINT AS n, range(1, m + 1) AS roots FROM cl UNIO
   FROM g1 JOIN pq ON pq.run_id = g1.run_id AND pq.cam = g1.cam AND pq.n = g1.n + 1 LEFT JOIN col ON col.run_id = g1.run_id AND col.cam = g1.cam),
 l1 AS (SELECT * FROM g1 QUALIFY row_number() OVER (PARTITION BY run_id, cam ORDER BY n DESC) = 1),
 ph1 AS (SELECT k.run_id, k.key, cl.ks[l1.roots[k.pos]] AS root FROM k JOIN l1 ON l1.run_id = k.run_id AND l1.cam = k.cam JOIN cl ON cl.run_id = k.run_id AND cl.cam = k.cam),
-rounds AS (SELECT run_id, key, root, 0 AS it FROM ph1 UNION ALL (
-  WITH cur AS (SELECT r.run_id, r.key, r.root, r.it, k.cam, k.first_frame, k.last_frame, k.proto FROM rounds r JOIN k ON k.run_id = r.run_id AND k.key = r.key),
+rounds AS (SELECT run_id, key, root, 0 AS it, NULL::DOUBLE AS ms FROM ph1 UNION ALL (
+  WITH cur AS (SELECT r.run_id, r.key, r.root, r.it, r.ms, k.cam, k.first_frame, k.last_frame, k.proto FROM rounds r JOIN k ON k.run_id = r.run_id AND k.key = r.key),
   xs AS (SELECT run_id, root, unnest(proto) AS x, generate_subscripts(proto, 1) AS i FROM cur), sm AS (SELECT run_id, root, i, sum(x) AS x FROM xs GROUP BY ALL), w AS (SELECT run_id, root, list(x ORDER BY i) AS w FROM sm GROUP BY ALL),
   cm AS (SELECT run_id, root, list_distinct(list(cam)) AS cams FROM cur GROUP BY ALL), cx AS (SELECT w.run_id, w.root, w, sqrt(list_dot_product(w, w)) AS len_, cams FROM w JOIN cm ON cm.run_id = w.run_id AND cm.root = w.root),
   cf AS (SELECT DISTINCT x.run_id, x.root AS a, y.root AS b FROM cur x JOIN cur y ON x.run_id = y.run_id AND x.cam = y.cam AND x.root < y.root AND NOT (x.last_frame < y.first_frame OR y.last_frame < x.first_frame)),
   pr AS (SELECT x.run_id, x.root AS a, y.root AS b, list_dot_product(x.w, y.w) / (x.len_ * y.len_) AS s, len(list_intersect(x.cams, y.cams)) AS shared, len(x.cams) = 1 AND len(y.cams) = 1 AS single FROM cx x JOIN cx y ON x.run_id = y.run_id AND x.root < y.root),
   ed AS (SELECT pr.run_id, pr.a, pr.b, s FROM pr LEFT JOIN cf ON cf.run_id = pr.run_id AND cf.a = pr.a AND cf.b = pr.b WHERE cf.a IS NULL AND NOT (shared = 1 AND single) AND s >= CASE WHEN shared = 0 THEN {cross_bar} ELSE {max(same_bar, 0)} END),
   bo AS (SELECT run_id, a AS me, b AS you, s FROM ed UNION ALL SELECT run_id, b, a, s FROM ed), be AS (SELECT * FROM bo QUALIFY row_number() OVER (PARTITION BY run_id, me ORDER BY s DESC, you DESC) = 1),
-  mv AS (SELECT x.run_id, x.you AS old, x.me AS fresh FROM be x JOIN be y ON y.run_id = x.run_id AND y.me = x.you AND y.you = x.me WHERE x.me < x.you)
-  SELECT cur.run_id, cur.key, coalesce(mv.fresh, cur.root), cur.it + 1 FROM cur LEFT JOIN mv ON mv.run_id = cur.run_id AND mv.old = cur.root WHERE cur.run_id IN (SELECT run_id FROM mv))),
-final AS (SELECT run_id, key, root FROM rounds QUALIFY row_number() OVER (PARTITION BY run_id, key ORDER BY it DESC) = 1),
+  mv AS (SELECT x.run_id, x.you AS old, x.me AS fresh, x.s FROM be x JOIN be y ON y.run_id = x.run_id AND y.me = x.you AND y.you = x.me WHERE x.me < x.you)
+  SELECT cur.run_id, cur.key, coalesce(mv.fresh, cur.root), cur.it + 1, coalesce(cur.ms, CASE WHEN cur.key = mv.old THEN mv.s END) FROM cur LEFT JOIN mv ON mv.run_id = cur.run_id AND mv.old = cur.root WHERE cur.run_id IN (SELECT run_id FROM mv))),
+final AS (SELECT run_id, key, root, ms FROM rounds QUALIFY row_number() OVER (PARTITION BY run_id, key ORDER BY it DESC) = 1),
 gd AS (SELECT DISTINCT f.run_id, f.root, obs.gid FROM final f JOIN k ON k.run_id = f.run_id AND k.key = f.key JOIN obs ON obs.run_id = k.run_id AND obs.cam = k.cam AND obs.track_id = k.track_id WHERE obs.gid > 0),
 cg AS (SELECT c.run_id, c.root, row_number() OVER (PARTITION BY c.run_id ORDER BY c.root) AS n, list(gid) FILTER (gid IS NOT NULL) AS gids FROM (SELECT DISTINCT run_id, root FROM final) c LEFT JOIN gd ON gd.run_id = c.run_id AND gd.root = c.root GROUP BY c.run_id, c.root),
 tp AS (SELECT run_id, coalesce(max(gid), 0) AS top FROM obs GROUP BY run_id),
