@@ -13,7 +13,9 @@ def reranked(neighbours: DataFrame, gallery: DataFrame, cams: DataFrame, k1: int
     queries and of the gallery's items, best first; cams item, cam. A neighbour within k1 places
     (k1 + boost if in another camera than the query) is reciprocal if its own k-th best isn't better
     than the pair's score, or it has fewer than k. The query's set is its reciprocal neighbours and
-    theirs; score is lam * cosine + (1 - lam) * the Jaccard overlap of query's and neighbour's sets.
+    theirs; score is lam * cosine + (1 - lam) * the Jaccard overlap of query's and neighbour's sets. With
+    fewer than k1 + 1 items in cams the sets say nothing, and score is the cosine. gallery needs the
+    items among the neighbours, whose sets are taken, and those among theirs.
     """
     def reciprocal(df: DataFrame, me: str) -> DataFrame:
         own = cams.select(F.col("item").alias(me), F.col("cam").alias("own_cam"))
@@ -32,4 +34,6 @@ def reranked(neighbours: DataFrame, gallery: DataFrame, cams: DataFrame, k1: int
     rq, ro = F.coalesce("rq", none), F.coalesce("ro", F.array("other"))
     union = F.size(F.array_union(rq, ro))
     jaccard = F.when(union > 0, F.size(F.array_intersect(rq, ro)) / union).otherwise(0.0)
-    return pairs.select("query", "other", F.col("score").alias("cosine"), jaccard.alias("jaccard"), (lam * F.col("score") + (1 - lam) * jaccard).alias("score"))
+    known = F.broadcast(cams.agg((F.count(F.lit(1)) > k1).alias("enough")))  # one row
+    blend = F.when(F.col("enough"), lam * F.col("score") + (1 - lam) * F.col("jaccard")).otherwise(F.col("score"))
+    return pairs.withColumn("jaccard", jaccard).crossJoin(known).select("query", "other", F.col("score").alias("cosine"), "jaccard", blend.alias("score"))

@@ -9,7 +9,7 @@ from sightweave.functions import scoring
 from sightweave.functions.vectors import unit
 from sightweave.operators.topology import shortest_transits
 from sightweave.plans.frames import stamped
-from sightweave.plans.identity import D, seen
+from sightweave.plans.identity import _FINAL, CFG, DIM, D, obs, seen
 from sightweave.session import latest, table
 from sightweave.streaming import engine, service
 
@@ -43,6 +43,13 @@ def live_engine_replay(spark, sf_dir):
     return engine.replay(live_rows(spark, sf_dir), engine.LiveConfig(), transits)
 
 
+@query(f"{_FINAL} SELECT run_id, count(*) AS tracklets, count(DISTINCT identity) AS identities, count(*) FILTER (state = 'suppressed') AS suppressed, sum(observations)::BIGINT AS observations FROM ri GROUP BY run_id")
+def finalize_runs(spark, sf_dir):
+    """The figures of each run when it ends."""
+    boxes = seen(spark, sf_dir).filter("track_id is not null").select("det_id", "run_id", "cam", "track_id", "frame_index")
+    return engine.finalize(boxes, obs(spark, sf_dir), CFG, DIM)[1]
+
+
 @query()
 def sticky_assign(spark, sf_dir):
     """Observations assigned one by one: tracks keep their identity, new ones are matched or minted."""

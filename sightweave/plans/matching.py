@@ -14,7 +14,7 @@ from sightweave.operators.pairs import best_labels, nearest_exact, similar_pairs
 from sightweave.operators.ranks import linear_percentiles
 from sightweave.operators.rerank import reranked
 from sightweave.plans.identity import CFG, DIM, OBS, PROTO, obs
-from sightweave.session import table
+from sightweave.session import cut, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -177,14 +177,35 @@ def match_or_mint(spark, sf_dir):
     return best.select("query", F.col("label").alias("best_label"), F.round("score", 6).alias("best"), ((F.col("score") >= 0.3) & (F.col("score") - F.coalesce("second", F.lit(-1.0)) >= 0.03)).alias("accepted"))
 
 
-@query()
+def _near_sql(name: str, of: str) -> str:
+    return f"{name} AS (SELECT x.item AS me, x.cam AS mine, y.item AS other, y.cam AS theirs, list_dot_product(x.proto, y.proto) AS s, row_number() OVER (PARTITION BY x.item ORDER BY round(list_dot_product(x.proto, y.proto), 12) DESC, y.item) AS place FROM tk x JOIN tk y ON x.item <> y.item WHERE {of} AND y.key % 20 <> 0 QUALIFY place <= 12)"
+
+
+def _mutual_sql(name: str, of: str) -> str:
+    return f"{name} AS (SELECT n.me, n.other FROM {of} n LEFT JOIN ow g ON g.me = n.other AND g.place = CASE WHEN n.mine = n.theirs THEN 8 ELSE 12 END WHERE n.place <= CASE WHEN n.mine = n.theirs THEN 8 ELSE 12 END AND (g.s IS NULL OR n.s >= g.s - 1e-9))"
+
+
+@query(
+    f"""WITH {PROTO}, kp AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY cam, track_id) - 1 AS key FROM p), tk AS (SELECT substr(replace(run_id, '_', ''), 3)::BIGINT * 1000000 + key AS item, key, cam, proto FROM kp),
+{_near_sql("nb", "x.key % 20 = 0")}, {_near_sql("ow", "x.key % 20 <> 0")}, {_mutual_sql("ri", "ow")}, {_mutual_sql("rf", "nb")},
+sq AS (SELECT me, list_distinct(list(o)) AS rq FROM (SELECT me, other AS o FROM rf UNION ALL SELECT rf.me, ri.other FROM rf JOIN ri ON ri.me = rf.other) GROUP BY me), so AS (SELECT me, list(other) AS r FROM ri GROUP BY me),
+x AS (SELECT nb.me AS query, nb.other, s, coalesce(rq, []) AS rq, list_distinct(list_append(coalesce(so.r, []), nb.other)) AS ro FROM nb LEFT JOIN sq ON sq.me = nb.me LEFT JOIN so ON so.me = nb.other), y AS (SELECT *, len(list_intersect(rq, ro)) / len(list_distinct(list_concat(rq, ro)))::DOUBLE AS j FROM x)
+SELECT query, other, round(s, 6) AS cosine, round(j, 6) AS jaccard, round(0.7 * s + 0.3 * j, 6) AS score FROM y"""
+)
 def rerank_jaccard(spark, sf_dir):
-    g = gallery(spark, sf_dir)
-    base = g.filter("vec_id % 20 <> 0")
-    near = nearest_exact(g.filter("vec_id % 20 = 0"), base, "vec_id", "u", 12)
-    own = nearest_exact(base, base, "vec_id", "u", 12).withColumnRenamed("query", "item")
-    cams = g.select(F.col("vec_id").alias("item"), F.concat(F.lit("cam_"), (F.col("vec_id") % 4).cast("string")).alias("cam"))
-    out = reranked(near, own, cams)
+    """Every twentieth tracklet's nearest others, re-ranked by common neighbours with regard to their cameras."""
+    kept = trk.with_prototypes(obs(spark, sf_dir), DIM, CFG.min_observations)
+    key = F.row_number().over(Window.partitionBy("run_id").orderBy("cam", "track_id")) - 1
+    item = F.substring(F.replace("run_id", F.lit("_"), F.lit("")), 3, 12).cast("long") * 1_000_000 + F.col("key")
+    items = cut(kept.withColumn("key", key).select(item.alias("item"), "key", "cam", "prototype"))
+    base = items.filter("key % 20 <> 0")
+    near = cut(nearest_exact(items.filter("key % 20 = 0"), base, "item", "prototype", 12))
+    # Of the gallery only what the queries reach in two steps is searched.
+    first = near.select(F.col("other").alias("item")).distinct()
+    own = cut(nearest_exact(base.join(first, "item", "left_semi"), base, "item", "prototype", 12))
+    second = own.select(F.col("other").alias("item")).distinct().join(first, "item", "left_anti")
+    further = nearest_exact(base.join(second, "item", "left_semi"), base, "item", "prototype", 12)
+    out = reranked(near, own.unionByName(further).withColumnRenamed("query", "item"), items.select("item", "cam"))
     return out.select("query", "other", *[F.round(c, 6).alias(c) for c in ("cosine", "jaccard", "score")])
 
 

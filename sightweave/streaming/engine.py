@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sightweave.session import cut
+
 OUT = "det_id long, run_id string, cam string, track_id long, identity long, event string, score double"
 
 
@@ -193,16 +195,92 @@ def replay(obs: DataFrame, cfg: LiveConfig = LiveConfig(), transit: dict | None
     return obs.repartition("run_id").sortWithinPartitions("run_id", *ORDER).mapInPandas(scan, OUT)
 
 
-def live(stream: DataFrame, cfg: LiveConfig = LiveConfig(), transit: dict | None = None) -> DataFrame:
-    """The same on a stream; the state of a run is kept in the state store between micro-batches."""
+def live(stream: DataFrame, cfg: LiveConfig = LiveConfig(), transit: dict | None = None, hold_sec: float = 0.0, idle_sec: float | None = None) -> DataFrame:
+    """The same on a stream; the state of a run is kept in the state store between micro-batches.
+
+    Rows are held back until hold_sec behind the newest of their run and then decided in the order of
+    time, so rows that come out of order by less than that get the decisions of a replay. A row older
+    than what is decided already changes nothing and is given out as late, without an identity. A run
+    that sends nothing for idle_sec is finished: what it holds is decided and its state is removed
+    (None: never, which a stream of finite micro-batches such as availableNow needs, as timeouts
+    keep such a query running).
+    The engine's own state is bounded by its time to live and number of identities, the rows held by
+    hold_sec.
+    """
+    columns = ["det_id", "run_id", "cam", "track_id", "frame_index", "ts", "unit_vector", "quality"]
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        engine = pickle.loads(state.get[0]) if state.exists else Engine(cfg, transit)
-        parts = list(frames)  # one micro-batch of one run, bounded by the source's options
-        if parts:
-            yield _decide(engine, pd.concat(parts).sort_values(ORDER, kind="stable"))
-        state.update((pickle.dumps(engine),))
+        engine, held, done = pickle.loads(state.get[0]) if state.exists else (Engine(cfg, transit), pd.DataFrame(columns=columns), -np.inf)
+        if state.hasTimedOut:
+            ready, late = held.sort_values(ORDER, kind="stable"), held.iloc[:0]
+            state.remove()
+        else:
+            parts = [p[columns] for p in frames]  # one micro-batch of one run, bounded by the source's options
+            rows = pd.concat([*([held] if len(held) else []), *parts]).sort_values(ORDER, kind="stable") if parts else held
+            late, rows = rows[rows["ts"] < done], rows[rows["ts"] >= done]
+            upto = rows["ts"].max() - hold_sec if len(rows) else done
+            ready, held = rows[rows["ts"] <= upto], rows[rows["ts"] > upto]
+            done = max(done, ready["ts"].max()) if len(ready) else done
+        if len(late):
+            yield pd.DataFrame({**{c: late[c] for c in columns[:4]}, "identity": pd.array([None] * len(late), dtype="Int64"), "event": "late", "score": np.nan})
+        if len(ready):
+            yield _decide(engine, ready)
+        if not state.hasTimedOut:
+            state.update((pickle.dumps((engine, held, done)),))
+            if idle_sec is not None:
+                state.setTimeoutDuration(int(idle_sec * 1000))
+
+    return stream.groupBy("run_id").applyInPandasWithState(step, OUT, "engine binary", "append", GroupStateTimeout.NoTimeout if idle_sec is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+@dataclass(frozen=True)
+class Batch:
+    """Frames of several cameras that are processed together, and what was left out."""
+
+    frames: list[tuple[str, int, float]]
+    stale: int
+    replaced: int
+
+
+class FreshBatcher:
+    """Batches of the newest frame of each camera: a camera's older frame is replaced, a frame too old is dropped, cameras take turns."""
+
+    def __init__(self, size: int, max_age: float):
+        self.size, self.max_age = size, max_age
+        self.slots: OrderedDict[str, tuple[int, float]] = OrderedDict()
+        self.replaced = 0
+
+    def put(self, cam: str, frame: int, ts: float) -> None:
+        self.replaced += cam in self.slots
+        self.slots[cam] = (frame, ts)  # keeps the camera's turn
+
+    def take(self, now: float) -> Batch:
+        frames, stale = [], 0
+        while self.slots and len(frames) < self.size:
+            cam, (frame, ts) = self.slots.popitem(last=False)
+            if now - ts > self.max_age:
+                stale += 1
+            else:
+                frames.append((cam, frame, ts))
+        replaced, self.replaced = self.replaced, 0
+        return Batch(frames, stale, replaced)
+
+
+def reconnect_delays(attempts: int, step: float = 1.0, most: float = 10.0) -> list[float]:
+    """Waits before the attempts to open a lost source again: growing by step, bounded."""
+    return [min(most, step * (i + 1)) for i in range(attempts)]
+
+
+def finalize(boxes: DataFrame, obs: DataFrame, cfg, dim: int = 128) -> tuple[DataFrame, DataFrame]:
+    """When a run ends: its boxes with their final identities, and a row of figures of each run.
+
+    The reconcile is run over all observations; boxes of tracks without an identity keep null.
+    """
+    from sightweave.operators.reconcile import reconcile, relabel
 
-    return stream.groupBy("run_id").applyInPandasWithState(step, OUT, "engine binary", "append", GroupStateTimeout.NoTimeout)
+    ids = cut(reconcile(obs, cfg, dim))
+    figures = ids.groupBy("run_id").agg(F.count(F.lit(1)).alias("tracklets"), F.countDistinct("identity").alias("identities"), F.count_if(F.col("state") == "suppressed").alias("suppressed"), F.sum("observations").alias("observations"))
+    return relabel(boxes, ids), figures
 
 
 def throttled(rows: DataFrame, frames: DataFrame, interval: int = 10, warmup: int = 3, cap: int = 0, ttl: int = 90) -> DataFrame:

@@ -158,6 +158,33 @@ def test_live_stream_equals_replay(spark, tmp_path):
     assert {(r["det_id"], r["identity"], r["event"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
 
 
+def test_a_stream_out_of_order_is_decided_as_its_replay(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, "r", "ab"[i % 2], i % 6, i, i * 0.5, [float(x) for x in np.random.RandomState(i % 3).randn(8) + 0.1 * np.random.RandomState(i).randn(8)], 1.0) for i in range(120)]
+    rows = [(*r[:6], (np.array(r[6]) / np.linalg.norm(r[6])).tolist(), r[7]) for r in rows]
+    kind = "det_id long, run_id string, cam string, track_id long, frame_index long, ts double, unit_vector array<double>, quality double"
+    want = {r["det_id"]: (r["identity"], r["event"]) for r in engine.replay(spark.createDataFrame(rows, kind)).collect()}
+    late = (500, "r", "a", 0, 0, 0.0, rows[0][6], 1.0)
+    mixed = sorted(rows, key=lambda r: r[5] + rng.random() * 4)
+    for k in range(0, 120, 30):
+        spark.createDataFrame(mixed[k : k + 30] + ([late] if k == 90 else []), kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.createDataFrame(rows, kind).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = engine.live(stream, hold_sec=5.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r["det_id"]: (r["identity"], r["event"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got.pop(500) == (None, "late")
+    assert len(got) >= 105 and all(want[i] == x for i, x in got.items())  # the newest five seconds are still held
+
+
+def test_fresh_batches():
+    b = engine.FreshBatcher(2, 1.0)
+    for cam, frame, ts in (("a", 1, 0.0), ("b", 1, 0.1), ("a", 2, 0.9), ("c", 1, 1.0), ("d", 1, 1.0)):
+        b.put(cam, frame, ts)
+    assert b.take(1.5) == engine.Batch([("a", 2, 0.9), ("c", 1, 1.0)], 1, 1)
+    assert b.take(1.5) == engine.Batch([("d", 1, 1.0)], 0, 0) and b.take(1.5).frames == []
+    assert engine.reconnect_delays(4, 2.0, 5.0) == [2.0, 4.0, 5.0, 5.0]
+
+
 def test_throttle(spark):
     kind = "det_id long, run_id string, cam string, track_id long, frame_index long, accepted boolean"
     rows = spark.createDataFrame([(i, "r", "c", 1, i, True) for i in range(30)] + [(100, "r", "c", 2, 29, True), (101, "r", "c", None, 3, True)], kind)
