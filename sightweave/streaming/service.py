@@ -25,6 +25,11 @@ from sightweave.streaming.engine import ORDER
 OUT = "det_id long, run_id string, cam string, track_id long, identity long, event string, score double"
 
 
+def _sigmoid(z: float) -> float:
+    """1 / (1 + exp(-z)) of any z; a gap of 70,000 frames would be beyond math.exp."""
+    return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
+
+
 @dataclass(frozen=True)
 class AssignConfig:
     """Bars of the assignment; verified sets the two of the verifier."""
@@ -86,7 +91,7 @@ class Assigner:
     def _probability(self, g: int, cosine: float, cam: str, frame: int, quality: float) -> float:
         who = self.people[g]
         since = max(0, frame - who.last[1]) if who.last and who.last[0] == cam else 0
-        return 1 / (1 + math.exp(-(BIAS + (W_COSINE + W_RERANK) * cosine + W_COUNT * math.log1p(who.observations) + W_GAP * since + W_QUALITY * quality)))
+        return _sigmoid(BIAS + (W_COSINE + W_RERANK) * cosine + W_COUNT * math.log1p(who.observations) + W_GAP * since + W_QUALITY * quality)
 
     def _match(self, cam: str, frame: int, u: np.ndarray, quality: float) -> tuple[int | None, float | None]:
         c = self.cfg

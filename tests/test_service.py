@@ -104,3 +104,10 @@ def test_the_verifier_is_the_expression(spark):
     a.observe("a", 1, 1, unit([1, 0, 0]), 1.0)
     p = spark.range(1).select(verifier(F.lit(0.8), F.lit(0.8), F.lit(1), F.lit(9.0), F.lit(0.4))).first()[0]
     assert abs(a._probability(1, 0.8, "a", 10, 0.4) - p) < 1e-12
+
+
+def test_a_gap_of_any_length_is_verified():
+    a = Assigner(AssignConfig(verified=True), 3)
+    assert a.observe("a", 1, 1, unit([1, 0, 0]), 1.0)[1] == "minted"
+    assert a.observe("a", 2, 985_780, unit([1, 0, 0]), 1.0) == (2, "minted", 0.0)
+    assert a.observe("b", 3, 985_781, unit([0, 1, 0]), 0.0)[:2] == (3, "minted")
