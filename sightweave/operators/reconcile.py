@@ -8,6 +8,8 @@ only sees how many unions a round made.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,11 +19,12 @@ from pyspark.sql.window import Window
 from sightweave.config import ReconcileConfig
 from sightweave.functions.vectors import prototypes
 from sightweave.operators.pairs import set_score, similar_pairs
+from sightweave.operators.rounds import ROWS, joined_rounds, rounds_of_run
 from sightweave.operators.tracklets import KEY, even_rows, tracklets, with_prototypes
 from sightweave.session import cut
 
 #: Tracklets of a run that one task may hold for all rounds.
-RUN_LIMIT = 3000
+RUN_LIMIT = 20_000
 
 
 def bar_column(camera: Column, cfg: ReconcileConfig) -> Column:
@@ -33,34 +36,42 @@ def bar_column(camera: Column, cfg: ReconcileConfig) -> Column:
 
 
 def _greedy(pdf: pd.DataFrame, cfg: ReconcileConfig) -> pd.DataFrame:
-    """Phase 1 of one camera of one run: unions by descending (score, a, b) where no spans collide."""
+    """Phase 1 of one camera of one run: unions by descending (score, a, b) where no spans collide. Scores count to twelve places."""
     pdf = pdf.sort_values("key").reset_index(drop=True)
     n = len(pdf)
     v = np.array(pdf["prototype"].tolist(), dtype=np.float64)
     start, end = pdf["first_frame"].to_numpy(), pdf["last_frame"].to_numpy()
     bar = cfg.bar(pdf["cam"].iloc[0])
     sets = [np.array([np.asarray(r, dtype=np.float64) for r in rows]) for rows in pdf["rows"]] if "rows" in pdf else None
-    pairs = []
-    for i in range(n - 1):
-        free = i + 1 + np.flatnonzero((end[i] < start[i + 1 :]) | (end[i + 1 :] < start[i]))
-        if not len(free):
-            continue
-        s = v[free] @ v[i]
+    found = []
+    for i in range(0, n, ROWS):
+        rows = np.arange(i, min(n, i + ROWS))
+        free = ((end[rows, None] < start[None, i:]) | (end[None, i:] < start[rows, None])) & (rows[:, None] < np.arange(i, n)[None, :])
+        s = v[rows] @ v[i:].T
         if sets is not None and cfg.scoring != "prototype":
-            other = np.array([set_score(sets[i], sets[j], cfg.scoring, cfg.top_frac) for j in free])
+            other = np.full(s.shape, -np.inf)
+            for x, y in zip(*np.nonzero(free)):
+                other[x, y] = set_score(sets[rows[x]], sets[i + y], cfg.scoring, cfg.top_frac)
             s = np.maximum(s, other) if cfg.scoring == "max_exemplar" else other
-        good = s >= bar
-        pairs += [(x, i, j) for x, j in zip(s[good], free[good])]
+        x, y = np.nonzero(free & (s >= bar))
+        found.append((np.round(s[x, y], 12), rows[x], y + i))
+    score, a, b = (np.concatenate([f[k] for f in found]) for k in range(3))
+    order = np.lexsort((b, a, score))[::-1]
     members = {i: [i] for i in range(n)}
+    spans = [([x], [y]) for x, y in zip(start.tolist(), end.tolist())]  # of each cluster in order: they don't collide
     root = list(range(n))
-    for _, i, j in sorted(pairs, reverse=True):
-        a, b = root[i], root[j]
-        if a == b or any(not (end[x] < start[y] or end[y] < start[x]) for x in members[a] for y in members[b]):
+    for i, j in zip(a[order].tolist(), b[order].tolist()):
+        x, y = root[i], root[j]
+        if x == y:
             continue
-        a, b = min(a, b), max(a, b)
-        for m in members[b]:
-            root[m] = a
-        members[a] += members.pop(b)
+        few, many = (spans[x], spans[y]) if len(spans[x][0]) <= len(spans[y][0]) else (spans[y], spans[x])
+        if any((k := bisect_right(many[0], e)) and many[1][k - 1] >= s for s, e in zip(*few)):
+            continue
+        x, y = min(x, y), max(x, y)
+        for m in members[y]:
+            root[m] = x
+        members[x] += members.pop(y)
+        spans[x] = (sorted(spans[x][0] + spans[y][0]), sorted(spans[x][1] + spans[y][1]))
     pdf["root"] = pdf["key"].to_numpy()[root]
     return pdf[["run_id", "key", "root"]]
 
@@ -131,66 +142,20 @@ def _ordered_unions(edges: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"run_id": run, "old": [y for y, _ in done], "new": [find(y) for y, _ in done], "score": [s for _, s in done]}).astype({"old": "int64", "new": "int64", "score": "float64"})
 
 
-def _rounds_of_run(pdf: pd.DataFrame, cfg: ReconcileConfig) -> pd.DataFrame:
-    """All rounds of a run with a bounded number of tracklets, by the rules of the joined form."""
-    pdf = pdf.sort_values("key").reset_index(drop=True)
-    v = np.array(pdf["prototype"].tolist(), dtype=np.float64)
-    cam, start, end = pdf["cam"].to_numpy(), pdf["first_frame"].to_numpy(), pdf["last_frame"].to_numpy()
-    names = sorted(set(cam))
-    roots, own = np.unique(pdf["root"].to_numpy(), return_inverse=True)
-    own = own.copy()
-    n = len(roots)
-    collide = (cam[:, None] == cam[None, :]) & ~((end[:, None] < start[None, :]) | (end[None, :] < start[:, None]))
-    np.fill_diagonal(collide, False)
-    conflict, inside = np.zeros((n, n), bool), np.zeros((n, len(names)), bool)
-    x, y = np.nonzero(collide)
-    conflict[own[x], own[y]] = True
-    inside[own, np.searchsorted(names, cam)] = True
-    alive, merged, rounds = np.ones(n, bool), {}, 0
-    while True:  # every round but the last makes a union
-        rounds += 1
-        at = np.flatnonzero(alive)
-        sums = np.zeros((n, v.shape[1]))
-        np.add.at(sums, own, v)
-        p = sums[at]
-        length = np.linalg.norm(p, axis=1, keepdims=True)
-        score = (p / np.where(length == 0, 1, length)) @ (p / np.where(length == 0, 1, length)).T
-        bar = np.full(score.shape, -np.inf)
-        for c, name in enumerate(names):
-            both = inside[at, c][:, None] & inside[at, c][None, :]
-            bar = np.where(both, np.maximum(bar, cfg.bar(name)), bar)
-        shared = np.isfinite(bar)
-        bar[~shared] = cfg.cross_bar
-        single = inside[at].sum(1) == 1
-        good = (score >= bar) & ~conflict[np.ix_(at, at)] & ~(shared & single[:, None] & single[None, :]) & (length > 0) & (length.T > 0)
-        np.fill_diagonal(good, False)
-        value = np.where(good, score, -np.inf)
-        best = len(at) - 1 - value[:, ::-1].argmax(1)  # ties: the larger partner
-        ok = np.isfinite(value.max(1, initial=-np.inf))
-        pairs = [(i, best[i]) for i in np.flatnonzero(ok) if ok[best[i]] and best[best[i]] == i and i < best[i]]
-        if not pairs:
-            break
-        for i, j in pairs:
-            a, b = at[i], at[j]
-            own[own == b] = a
-            merged[roots[b]] = (float(score[i, j]), rounds)
-            alive[b] = False
-            conflict[a] |= conflict[b]
-            conflict[:, a] |= conflict[:, b]
-            inside[a] |= inside[b]
-    at = [merged.get(k, (None, None)) for k in pdf["key"]]
-    return pd.DataFrame({"run_id": pdf["run_id"], "key": pdf["key"], "final": roots[own], "merge_score": [m[0] for m in at], "merge_round": pd.array([m[1] for m in at], dtype="Int32")})
-
-
-def cluster_tracklets(obs: DataFrame, cfg: ReconcileConfig, dim: int, run_limit: int = RUN_LIMIT) -> tuple[DataFrame, int]:
+def numbered(obs: DataFrame, dim: int, min_observations: int, every: DataFrame | None = None) -> DataFrame:
+    """Tracklets of enough observations with their prototype and their number in the run (key); every: the tracklets of obs, if made before."""
+    kept = with_prototypes(obs, dim, min_observations, every)
+    key = F.row_number().over(Window.partitionBy("run_id").orderBy("cam", "track_id")) - 1
+    return cut(kept.withColumn("key", key.cast("long")))
+
+
+def cluster_tracklets(obs: DataFrame, cfg: ReconcileConfig, dim: int, run_limit: int = RUN_LIMIT, keyed: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Members (run_id, key, cam, track_id, span, observations, gids, root) of all clusters, and the number of rounds.
 
     The tracklet that a cluster was called after has merge_score and merge_round of the union in which
-    the cluster went up in another one.
+    the cluster went up in another one. keyed: what numbered() makes of obs, if made before.
     """
-    kept = with_prototypes(obs, dim, cfg.min_observations)
-    key = F.row_number().over(Window.partitionBy("run_id").orderBy("cam", "track_id")) - 1
-    keyed = cut(kept.withColumn("key", key.cast("long")))
+    keyed = numbered(obs, dim, cfg.min_observations) if keyed is None else keyed
     rows = obs.select("det_id", "frame_index", "unit_vector", *KEY).join(keyed.select(*KEY, "key"), KEY).select("run_id", "key", "frame_index", "det_id", "unit_vector") if cfg.scoring != "prototype" else None
     phase1 = keyed
     if rows is not None:
@@ -201,16 +166,16 @@ def cluster_tracklets(obs: DataFrame, cfg: ReconcileConfig, dim: int, run_limit:
     members = cut(keyed.join(roots, ["run_id", "key"]))
     rounds = 0
     if cfg.reciprocal and rows is None:
-        # Runs of up to RUN_LIMIT tracklets take one task each; the joined form below does the larger ones.
-        sizes = members.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-        small = members.join(sizes.filter(F.col("n") <= run_limit).select("run_id"), "run_id", "left_semi")
-        settled = small.select("run_id", "key", "cam", "first_frame", "last_frame", "prototype", "root").groupBy("run_id").applyInPandas(lambda pdf: _rounds_of_run(pdf, cfg), "run_id string, key long, final long, merge_score double, merge_round int")
-        done = small.join(settled, ["run_id", "key"]).withColumn("root", F.col("final")).drop("final")
-        members = members.join(sizes.filter(F.col("n") > run_limit).select("run_id"), "run_id", "left_semi")
-        if members.isEmpty():
-            return cut(done), 1
-    else:
-        done = None
+        # Runs of up to RUN_LIMIT tracklets take one task each; the joined form does the larger ones.
+        columns = ["run_id", "key", "cam", "first_frame", "last_frame", "prototype", "root"]
+        counted = members.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+        small, large = (counted.filter(f"n {sign} {run_limit}").select("run_id") for sign in ("<=", ">"))
+        schema = "run_id string, key long, final long, merge_score double, merge_round int"
+        settled, rounds = members.join(small, "run_id", "left_semi").select(*columns).groupBy("run_id").applyInPandas(lambda pdf: rounds_of_run(pdf, cfg), schema), 1
+        if not large.isEmpty():
+            more, rounds = joined_rounds(members.join(large, "run_id", "left_semi").select(*columns), cfg, dim)
+            settled = settled.unionByName(more)
+        return cut(members.join(settled, ["run_id", "key"]).withColumn("root", F.col("final")).drop("final")), rounds
     members = members.withColumns({"merge_score": F.lit(None).cast("double"), "merge_round": F.lit(None).cast("int")})
     while True:  # every round but the last makes a union
         rounds += 1
@@ -227,7 +192,7 @@ def cluster_tracklets(obs: DataFrame, cfg: ReconcileConfig, dim: int, run_limit:
         here = F.col("new").isNotNull() & (F.col("key") == F.col("root"))  # a cluster that ends is named on the tracklet it is called after
         told = joined.withColumns({"merge_score": F.when(here, F.col("score")).otherwise(F.col("merge_score")), "merge_round": F.when(here, F.lit(rounds)).otherwise(F.col("merge_round"))})
         members = cut(told.withColumn("root", F.coalesce("new", "root")).drop("new", "score"))
-    return (members if done is None else cut(members.unionByName(done.select(*members.columns)))), rounds
+    return members, rounds
 
 
 def _allot(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -249,8 +214,8 @@ def reconcile(obs: DataFrame, cfg: ReconcileConfig = ReconcileConfig(), dim: int
     cluster's tracklets where possible. In compat mode a run with fewer than two surviving tracklets
     gets no identities at all.
     """
-    members, _ = cluster_tracklets(obs, cfg, dim, run_limit)
-    every = tracklets(obs)
+    every = cut(tracklets(obs))
+    members, _ = cluster_tracklets(obs, cfg, dim, run_limit, numbered(obs, dim, cfg.min_observations, every))
     top = every.groupBy("run_id").agg(F.coalesce(F.max(F.array_max("gids")), F.lit(0)).alias("top"))
     clusters = members.groupBy("run_id", "root").agg(F.array_distinct(F.flatten(F.collect_list("gids"))).alias("gids"), F.count(F.lit(1)).alias("tracklets"))
     named = clusters.join(top, "run_id").groupBy("run_id").applyInPandas(_allot, "run_id string, root long, identity long")
@@ -274,9 +239,9 @@ CEILING = 0.661
 
 def sweep(obs: DataFrame, configs: dict[str, ReconcileConfig], dim: int = 128, ceiling: float = CEILING) -> DataFrame:
     """Shape of the clusters under each setting: setting, run_id, identities, largest, multi_camera, and of the unions across cameras their number, how many are below the ceiling, and the least score."""
-    out = None
+    out, keyed = None, {n: numbered(obs, dim, n) for n in {cfg.min_observations for cfg in configs.values()}}
     for name, cfg in configs.items():
-        members, _ = cluster_tracklets(obs, cfg, dim)
+        members, _ = cluster_tracklets(obs, cfg, dim, keyed=keyed[cfg.min_observations])
         merges = [F.count("merge_score").alias("m"), F.count_if(F.col("merge_score") < ceiling).alias("low"), F.min("merge_score").alias("least")]
         ids = members.groupBy("run_id", "root").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cam").alias("cams"), *merges)
         shape = ids.groupBy("run_id").agg(F.count(F.lit(1)).alias("identities"), F.max("n").alias("largest"), F.count_if(F.col("cams") > 1).alias("multi_camera"), F.sum("m").alias("cross_merges"), F.sum("low").alias("below_ceiling"), F.round(F.min("least"), 6).alias("least_score"))

@@ -25,10 +25,10 @@ def tracklets(obs: DataFrame) -> DataFrame:
     return obs.groupBy(*KEY).agg(F.min("frame_index").alias("first_frame"), F.max("frame_index").alias("last_frame"), F.count(F.lit(1)).alias("observations"), F.array_sort(F.collect_set("gid")).alias("gids"))
 
 
-def with_prototypes(obs: DataFrame, dim: int, min_observations: int = 1) -> DataFrame:
-    """Tracklets of enough observations with their prototype; zero prototypes are left out."""
+def with_prototypes(obs: DataFrame, dim: int, min_observations: int = 1, every: DataFrame | None = None) -> DataFrame:
+    """Tracklets of enough observations with their prototype; zero prototypes are left out. every: the tracklets of obs, if made before."""
     protos = prototypes(obs, KEY, "unit_vector", dim)
-    return tracklets(obs).filter(F.col("observations") >= min_observations).join(protos, KEY).filter("prototype is not null")
+    return (tracklets(obs) if every is None else every).filter(F.col("observations") >= min_observations).join(protos, KEY).filter("prototype is not null")
 
 
 def even_rows(rows: DataFrame, keys: list[str], order: list[str], cap: int) -> DataFrame:
