@@ -19,12 +19,14 @@ from pyspark.sql.window import Window
 from sightweave.config import ReconcileConfig
 from sightweave.functions.vectors import prototypes
 from sightweave.operators.pairs import set_score, similar_pairs
-from sightweave.operators.rounds import ROWS, joined_rounds, rounds_of_run
+from sightweave.operators.rounds import ROWS, joined_rounds, rounds_of_run, set_edges
 from sightweave.operators.tracklets import KEY, even_rows, tracklets, with_prototypes
 from sightweave.session import cut
 
 #: Tracklets of a run that one task may hold for all rounds.
 RUN_LIMIT = 20_000
+#: Observations of a run that one task may hold where rows score.
+SET_LIMIT = 200_000
 
 
 def bar_column(camera: Column, cfg: ReconcileConfig) -> Column:
@@ -43,18 +45,15 @@ def _greedy(pdf: pd.DataFrame, cfg: ReconcileConfig) -> pd.DataFrame:
     start, end = pdf["first_frame"].to_numpy(), pdf["last_frame"].to_numpy()
     bar = cfg.bar(pdf["cam"].iloc[0])
     sets = [np.array([np.asarray(r, dtype=np.float64) for r in rows]) for rows in pdf["rows"]] if "rows" in pdf else None
+    free = lambda x, y: (x < y) & ((end[x] < start[y]) | (end[y] < start[x]))
     found = []
-    for i in range(0, n, ROWS):
-        rows = np.arange(i, min(n, i + ROWS))
-        free = ((end[rows, None] < start[None, i:]) | (end[None, i:] < start[rows, None])) & (rows[:, None] < np.arange(i, n)[None, :])
-        s = v[rows] @ v[i:].T
-        if sets is not None and cfg.scoring != "prototype":
-            other = np.full(s.shape, -np.inf)
-            for x, y in zip(*np.nonzero(free)):
-                other[x, y] = set_score(sets[rows[x]], sets[i + y], cfg.scoring, cfg.top_frac)
-            s = np.maximum(s, other) if cfg.scoring == "max_exemplar" else other
-        x, y = np.nonzero(free & (s >= bar))
-        found.append((np.round(s[x, y], 12), rows[x], y + i))
+    if sets is not None and cfg.scoring != "prototype":
+        found = [(np.round(s, 12), x, y) for x, y, s in set_edges(sets, v, cfg.scoring, cfg.top_frac, np.arange(n), np.arange(n), bar, free)]
+    else:
+        for i in range(0, n, ROWS):
+            x, y = np.nonzero((s := v[i : i + ROWS] @ v[i:].T) >= bar)
+            keep = free(x + i, y + i)
+            found.append((np.round(s[x[keep], y[keep]], 12), x[keep] + i, y[keep] + i))
     score, a, b = (np.concatenate([f[k] for f in found]) for k in range(3))
     order = np.lexsort((b, a, score))[::-1]
     members = {i: [i] for i in range(n)}
@@ -143,8 +142,8 @@ def _ordered_unions(edges: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
 
 
 def numbered(obs: DataFrame, dim: int, min_observations: int, every: DataFrame | None = None) -> DataFrame:
-    """Tracklets of enough observations with their prototype and their number in the run (key); every: the tracklets of obs, if made before."""
-    kept = with_prototypes(obs, dim, min_observations, every)
+    """Tracklets of enough observations with their prototype and their number in the run (key); every: all tracklets with a prototype or null, if made before."""
+    kept = with_prototypes(obs, dim, min_observations) if every is None else every.filter((F.col("observations") >= min_observations) & F.col("prototype").isNotNull())
     key = F.row_number().over(Window.partitionBy("run_id").orderBy("cam", "track_id")) - 1
     return cut(kept.withColumn("key", key.cast("long")))
 
@@ -165,17 +164,27 @@ def cluster_tracklets(obs: DataFrame, cfg: ReconcileConfig, dim: int, run_limit:
     roots = phase1.select(*columns).groupBy("run_id", "cam").applyInPandas(lambda pdf: _greedy(pdf, cfg), "run_id string, key long, root long")
     members = cut(keyed.join(roots, ["run_id", "key"]))
     rounds = 0
-    if cfg.reciprocal and rows is None:
+    done = None
+    if cfg.reciprocal:
         # Runs of up to RUN_LIMIT tracklets take one task each; the joined form does the larger ones.
         columns = ["run_id", "key", "cam", "first_frame", "last_frame", "prototype", "root"]
-        counted = members.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-        small, large = (counted.filter(f"n {sign} {run_limit}").select("run_id") for sign in ("<=", ">"))
+        counted = members.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum("observations").alias("m"))
+        fits = f"n <= {run_limit}" + ("" if rows is None else f" and m <= {SET_LIMIT}")
+        small, large = (counted.filter(test).select("run_id") for test in (fits, f"not ({fits})"))
         schema = "run_id string, key long, final long, merge_score double, merge_round int"
-        settled, rounds = members.join(small, "run_id", "left_semi").select(*columns).groupBy("run_id").applyInPandas(lambda pdf: rounds_of_run(pdf, cfg), schema), 1
-        if not large.isEmpty():
-            more, rounds = joined_rounds(members.join(large, "run_id", "left_semi").select(*columns), cfg, dim)
-            settled = settled.unionByName(more)
-        return cut(members.join(settled, ["run_id", "key"]).withColumn("root", F.col("final")).drop("final")), rounds
+        within = members.join(small, "run_id", "left_semi").select(*columns)
+        if rows is not None:
+            listed = rows.groupBy("run_id", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "det_id", "unit_vector"))), lambda x: x["unit_vector"]).alias("rows"))
+            within = within.join(listed, ["run_id", "key"])
+        settled, rounds = within.groupBy("run_id").applyInPandas(lambda pdf: rounds_of_run(pdf, cfg), schema), 1
+        more = not large.isEmpty()
+        if more and rows is None:
+            joined, rounds = joined_rounds(members.join(large, "run_id", "left_semi").select(*columns), cfg, dim)
+            settled, more = settled.unionByName(joined), False
+        done = cut(members.join(settled, ["run_id", "key"]).withColumn("root", F.col("final")).drop("final"))
+        if not more:
+            return done, rounds
+        members, rounds = members.join(large, "run_id", "left_semi"), 0
     members = members.withColumns({"merge_score": F.lit(None).cast("double"), "merge_round": F.lit(None).cast("int")})
     while True:  # every round but the last makes a union
         rounds += 1
@@ -192,7 +201,7 @@ def cluster_tracklets(obs: DataFrame, cfg: ReconcileConfig, dim: int, run_limit:
         here = F.col("new").isNotNull() & (F.col("key") == F.col("root"))  # a cluster that ends is named on the tracklet it is called after
         told = joined.withColumns({"merge_score": F.when(here, F.col("score")).otherwise(F.col("merge_score")), "merge_round": F.when(here, F.lit(rounds)).otherwise(F.col("merge_round"))})
         members = cut(told.withColumn("root", F.coalesce("new", "root")).drop("new", "score"))
-    return members, rounds
+    return (members if done is None else cut(members.unionByName(done.select(*members.columns)))), rounds
 
 
 def _allot(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -214,7 +223,7 @@ def reconcile(obs: DataFrame, cfg: ReconcileConfig = ReconcileConfig(), dim: int
     cluster's tracklets where possible. In compat mode a run with fewer than two surviving tracklets
     gets no identities at all.
     """
-    every = cut(tracklets(obs))
+    every = cut(tracklets(obs).join(prototypes(obs, KEY, "unit_vector", dim), KEY, "left"))
     members, _ = cluster_tracklets(obs, cfg, dim, run_limit, numbered(obs, dim, cfg.min_observations, every))
     top = every.groupBy("run_id").agg(F.coalesce(F.max(F.array_max("gids")), F.lit(0)).alias("top"))
     clusters = members.groupBy("run_id", "root").agg(F.array_distinct(F.flatten(F.collect_list("gids"))).alias("gids"), F.count(F.lit(1)).alias("tracklets"))
@@ -223,7 +232,7 @@ def reconcile(obs: DataFrame, cfg: ReconcileConfig = ReconcileConfig(), dim: int
     if cfg.compat:
         many = members.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("run_id")
         mapped = mapped.join(many, "run_id", "left_semi")
-    out = every.drop("gids").join(mapped, KEY, "left")
+    out = every.drop("gids", "prototype").join(mapped, KEY, "left")
     state = F.when(F.col("observations") < cfg.min_observations, "suppressed").when(F.col("identity").isNotNull(), "resolved").otherwise("expired_unresolved")
     return out.select(*KEY, state.alias("state"), "identity", "root", "observations", "first_frame", "last_frame")
 

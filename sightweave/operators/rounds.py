@@ -7,7 +7,7 @@ clusters that are new. So a round costs what changed. Scores count to twelve pla
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightweave.config import ReconcileConfig
+from sightweave.operators.pairs import set_score
 from sightweave.session import cut
 
 #: Rows of a matrix product; clusters of a block of the joined form.
@@ -54,20 +55,74 @@ class Spans:
         return out
 
 
-def edges(u: np.ndarray, inside: np.ndarray, spans: Spans, cfg: ReconcileConfig, bars: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row, column, score of the mergeable pairs of rows and columns over their bar. u: unit vectors (zero: none); inside: cameras of each; bars: of the cameras."""
+def even(rows: np.ndarray, cap: int) -> np.ndarray:
+    """At most cap rows, as tracklets.even_rows takes them."""
+    n = len(rows)
+    if cap <= 0 or n <= cap:
+        return rows
+    return rows[:1] if cap == 1 else rows[np.unique(np.rint(np.arange(cap) * ((n - 1) / float(cap - 1))).astype(np.int64))]
+
+
+def set_edges(sets: list[np.ndarray], u: np.ndarray, mode: str, top_frac: float, rows: np.ndarray, cols: np.ndarray, least: float, allowed: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, column, score of the allowed pairs of sets of unit rows with a score of at least least (see set_score; with max_exemplar also that of the prototypes u).
+
+    Products in single precision rule out pairs: by their best, and the mean of the best k of n
+    numbers is at most sqrt((n - k) / k) deviations over the mean of all. The others' scores are exact.
+    """
+    count = np.array([len(x) for x in sets])
+    near = np.float32(least - 1e-4)
+
+    def parts(of: np.ndarray, many: int) -> list[np.ndarray]:
+        return np.split(of, np.flatnonzero(np.diff(np.cumsum(count[of]) // many)) + 1) if len(of) else []
+
+    right = [(c, np.concatenate([sets[k] for k in c]).astype(np.float32).T, np.append(0, np.cumsum(count[c])[:-1])) for c in parts(cols, 8192)]
+    for r in parts(rows, 1024):
+        left, at = np.concatenate([sets[k] for k in r]).astype(np.float32), np.append(0, np.cumsum(count[r])[:-1])
+        for c, there, to in right:
+            s = left @ there
+            able = np.maximum.reduceat(np.maximum.reduceat(s, at, axis=0), to, axis=1) >= near
+            if mode == "max_exemplar":
+                proto = u[r] @ u[c].T
+                able |= proto >= least
+            elif able.any():
+                n = count[r][:, None] * count[c][None, :]
+                k = np.maximum(1, np.rint(n * top_frac))
+                mean = np.add.reduceat(np.add.reduceat(s, at, axis=0), to, axis=1) / n
+                s *= s
+                square = np.add.reduceat(np.add.reduceat(s, at, axis=0), to, axis=1) / n
+                able &= mean + np.sqrt(np.maximum(0, square - mean**2) * (n - k) / k) >= near - 1e-3
+            i, j = np.nonzero(able)
+            keep = allowed(r[i], c[j])
+            i, j = i[keep], j[keep]
+            value = np.array([set_score(sets[x], sets[y], mode, top_frac) for x, y in zip(r[i], c[j])], dtype=np.float64)
+            if mode == "max_exemplar":
+                value = np.maximum(value, proto[i, j])
+            keep = value >= least
+            yield r[i][keep], c[j][keep], value[keep]
+
+
+def edges(u: np.ndarray, inside: np.ndarray, spans: Spans, cfg: ReconcileConfig, bars: np.ndarray, rows: np.ndarray, cols: np.ndarray, sets: list[np.ndarray] | None = None, half: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, column, score of the mergeable pairs of rows and columns over their bar. u: unit vectors (zero: none); inside: cameras of each; bars: of the cameras; sets: rows of each, where these score; half: the larger number as column only."""
     least = min(cfg.cross_bar, bars.min(initial=cfg.cross_bar))
     single, right = inside.sum(1) == 1, u[cols]
-    for s in range(0, len(rows), ROWS):
-        i, j = np.nonzero((score := u[rows[s : s + ROWS]] @ right.T) >= least)
-        value, r, c = score[i, j], rows[s : s + ROWS][i], cols[j]
-        keep = (r != c) & u[r].any(1) & u[c].any(1) if least <= 0 else r != c
+    home = np.where(single, inside.argmax(1), -1)
+
+    def products() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for s in range(0, len(rows), ROWS):
+            i, j = np.nonzero((score := u[rows[s : s + ROWS]] @ right.T) >= least)
+            yield rows[s : s + ROWS][i], cols[j], score[i, j]
+
+    able = lambda r, c: ((r < c) if half else (r != c)) & ((home[r] < 0) | (home[r] != home[c]))
+    for r, c, value in products() if sets is None else set_edges(sets, u, cfg.scoring, cfg.top_frac, rows, cols, least, able):
+        keep = able(r, c)
+        if least <= 0:
+            keep &= u[r].any(1) & u[c].any(1)
         value, r, c = value[keep], r[keep], c[keep]
         bar, shared = np.full(len(r), cfg.cross_bar), np.zeros(len(r), bool)
         for b in np.unique(bars):  # the strictest bar of the common cameras
             both = (inside[r][:, bars == b] & inside[c][:, bars == b]).any(1)
             bar[both], shared = b, shared | both
-        keep = (value >= bar) & ~(shared & single[r] & single[c])
+        keep = value >= bar
         value, r, c, shared = value[keep], r[keep], c[keep], shared[keep]
         at = np.flatnonzero(shared)
         keep = np.ones(len(r), bool)
@@ -84,7 +139,7 @@ def better(best: np.ndarray, score: np.ndarray, r: np.ndarray, c: np.ndarray, s:
 
 
 def rounds_of_run(pdf: pd.DataFrame, cfg: ReconcileConfig) -> pd.DataFrame:
-    """All rounds of a run in a task; memory grows with the number of tracklets."""
+    """All rounds of a run in a task; memory grows with the number of tracklets, and with their rows where these score (column rows: all of a tracklet, in order)."""
     pdf = pdf.sort_values("key").reset_index(drop=True)
     v = np.array(pdf["prototype"].tolist(), dtype=np.float64)
     names, cam = np.unique(pdf["cam"].to_numpy().astype(str), return_inverse=True)
@@ -100,14 +155,20 @@ def rounds_of_run(pdf: pd.DataFrame, cfg: ReconcileConfig) -> pd.DataFrame:
     alive, merged, rounds = np.ones(n, bool), {}, 0
     best, score = np.full(n, -1), np.full(n, -np.inf)
     search = fresh = np.arange(n)
+    lists = [np.array([np.asarray(x, dtype=np.float64) for x in rows]) for rows in pdf["rows"]] if "rows" in pdf and cfg.scoring != "prototype" else None
+    held = [np.flatnonzero(own == k) for k in range(n)] if lists else []
+    sets = [even(np.concatenate([lists[k] for k in ks]), cfg.cap) for ks in held] if lists else None
     while True:  # every round but the last makes a union
         rounds += 1
         at, spans = np.flatnonzero(alive), Spans(own, cam, start, end)
         best[search], score[search] = -1, -np.inf
-        for r, c, s in edges(u, inside, spans, cfg, bars, search, at):
+        half = sets is not None and len(search) == len(at)
+        for r, c, s in edges(u, inside, spans, cfg, bars, search, at, sets, half):
             better(best, score, r, c, s)
+            if half:
+                better(best, score, c, r, s)
         if len(fresh) < len(at):
-            for r, c, s in edges(u, inside, spans, cfg, bars, fresh, at):
+            for r, c, s in edges(u, inside, spans, cfg, bars, fresh, at, sets):
                 better(best, score, c, r, s)
         a = at[(best[at] > at) & (best[best[at]] == at)]
         if not len(a):
@@ -127,6 +188,9 @@ def rounds_of_run(pdf: pd.DataFrame, cfg: ReconcileConfig) -> pd.DataFrame:
         np.add.at(sums, own[mine], v[mine])
         length = np.linalg.norm(sums[a], axis=1, keepdims=True)
         u[a] = sums[a] / np.where(length == 0, 1, length)
+        for x, y in zip(a, b) if lists else ():
+            held[x] = np.sort(np.append(held[x], held[y]))
+            sets[x] = even(np.concatenate([lists[k] for k in held[x]]), cfg.cap)
         fresh = a
         search = np.flatnonzero(alive & (gone | ((best >= 0) & gone[best])))
     at = [merged.get(k, (None, None)) for k in pdf["key"]]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sightweave.functions.vectors import prototypes, unit, usable
-from sightweave.session import latest
+from sightweave.session import latest_of_repeated
 
 KEY = ["run_id", "cam", "track_id"]
 
@@ -15,7 +15,7 @@ KEY = ["run_id", "cam", "track_id"]
 def observations(detections: DataFrame, dim: int) -> DataFrame:
     """Complete observations: detections counted once, with a track, a frame and a usable vector (as unit_vector)."""
     columns = ["run_id", "cam", "track_id", "frame_index", "x1", "y1", "x2", "y2", "confidence", "reid_id", "global_id", "embedding"]
-    rows = latest(detections, ["det_id"], "ingested_at", columns)
+    rows = latest_of_repeated(detections, "det_id", "ingested_at", columns)
     rows = rows.dropna(subset=["run_id", "cam", "track_id", "frame_index"]).filter(usable(F.col("embedding"), dim))
     return rows.select(*[c for c in ["det_id", *columns] if c not in ("reid_id", "global_id", "embedding")], F.coalesce("reid_id", "global_id").alias("gid"), unit(F.col("embedding")).alias("unit_vector"))
 
@@ -25,10 +25,10 @@ def tracklets(obs: DataFrame) -> DataFrame:
     return obs.groupBy(*KEY).agg(F.min("frame_index").alias("first_frame"), F.max("frame_index").alias("last_frame"), F.count(F.lit(1)).alias("observations"), F.array_sort(F.collect_set("gid")).alias("gids"))
 
 
-def with_prototypes(obs: DataFrame, dim: int, min_observations: int = 1, every: DataFrame | None = None) -> DataFrame:
-    """Tracklets of enough observations with their prototype; zero prototypes are left out. every: the tracklets of obs, if made before."""
+def with_prototypes(obs: DataFrame, dim: int, min_observations: int = 1) -> DataFrame:
+    """Tracklets of enough observations with their prototype; zero prototypes are left out."""
     protos = prototypes(obs, KEY, "unit_vector", dim)
-    return (tracklets(obs) if every is None else every).filter(F.col("observations") >= min_observations).join(protos, KEY).filter("prototype is not null")
+    return tracklets(obs).filter(F.col("observations") >= min_observations).join(protos, KEY).filter("prototype is not null")
 
 
 def even_rows(rows: DataFrame, keys: list[str], order: list[str], cap: int) -> DataFrame:

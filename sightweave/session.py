@@ -56,3 +56,20 @@ def latest(df: DataFrame, key: list[str], by: str, columns: list[str]) -> DataFr
     """One row per key: of rows sent again, the one that arrived last (ties: the greatest values)."""
     newest = df.groupBy(*key).agg(F.max(F.struct(by, *columns)).alias("_row"))
     return newest.select(*key, *[F.col(f"_row.{c}").alias(c) for c in columns])
+
+
+#: Hash buckets of keys; those with a repeated key are at most so many rows of a broadcast.
+BUCKETS = 1 << 20
+
+
+def latest_of_repeated(df: DataFrame, key: str, by: str, columns: list[str]) -> DataFrame:
+    """latest() of one key, for wide rows of which few are sent again: only rows in a bucket with a repeated key are shuffled.
+
+    Where many are sent again all buckets have one, and it is latest() of all rows.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(bucket.alias("bucket_")).distinct()
+    told = cut(repeated)
+    rows = df.select(key, by, *columns).withColumn("bucket_", bucket)
+    once = rows.join(F.broadcast(told), "bucket_", "left_anti").select(key, *columns)
+    return once.unionByName(latest(rows.join(F.broadcast(told), "bucket_", "left_semi"), [key], by, columns))

@@ -93,3 +93,20 @@ def test_a_task_holds_no_table_of_all_pairs():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert out["final"].nunique() < 3000 and peak < 3000 * 3000 * 8  # one table of scores; it held ten
+
+
+def test_sets_score_as_one_by_one():
+    from sightweave.operators.pairs import set_score
+
+    rng = np.random.RandomState(3)
+    people = rng.randn(6, 8)
+    sets = [(x := people[k % 6] + 0.3 * rng.randn(rng.randint(1, 9), 8)) / np.linalg.norm(x, axis=1, keepdims=True) for k in range(70)]
+    u = np.array([x.sum(0) / np.linalg.norm(x.sum(0)) for x in sets])
+    for mode, bar in (("max_exemplar", 0.9), ("consensus", 0.8), ("consensus", -0.1)):
+        want = {}
+        for i, j in zip(*np.triu_indices(70, 1)):
+            s = set_score(sets[i], sets[j], mode, 0.25)
+            want[i, j] = max(s, u[i] @ u[j]) if mode == "max_exemplar" else s
+        got = [(i, j, s) for r in rnd.set_edges(sets, u, mode, 0.25, np.arange(70), np.arange(70), bar, lambda a, b: a < b) for i, j, s in zip(*r)]
+        assert {(i, j) for i, j, _ in got} == {k for k, s in want.items() if s >= bar} and got
+        assert all(abs(s - want[i, j]) < 1e-12 for i, j, s in got)
