@@ -249,9 +249,7 @@ def sweep_grid(spark, sf_dir):
     """The shape of the clusters over a grid of bars."""
     from dataclasses import replace
 
-    from sightweave.session import cut
-
-    return rec.sweep(cut(obs(spark, sf_dir)), {name: replace(CFG, same_bar=same, cross_bar=cross) for name, (same, cross) in GRID.items()}, DIM)
+    return rec.sweep(obs(spark, sf_dir), {name: replace(CFG, same_bar=same, cross_bar=cross) for name, (same, cross) in GRID.items()}, DIM)
 
 
 @query()
