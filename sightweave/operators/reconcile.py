@@ -19,12 +19,12 @@ from pyspark.sql.window import Window
 from sightweave.config import ReconcileConfig
 from sightweave.functions.vectors import prototypes
 from sightweave.operators.pairs import set_score, similar_pairs
-from sightweave.operators.rounds import ROWS, joined_rounds, rounds_of_run, set_edges
+from sightweave.operators.rounds import ROWS, SETTLED, joined_rounds, rounds_of_run, set_edges
 from sightweave.operators.tracklets import KEY, even_rows, tracklets, with_prototypes
 from sightweave.session import cut
 
-#: Tracklets of a run that one task may hold for all rounds.
-RUN_LIMIT = 20_000
+#: Tracklets of a run that one task may hold for all rounds; clusters that it may hold after joined rounds.
+RUN_LIMIT = 80_000
 #: Observations of a run that one task may hold where rows score.
 SET_LIMIT = 200_000
 
@@ -166,20 +166,19 @@ def cluster_tracklets(obs: DataFrame, cfg: ReconcileConfig, dim: int, run_limit:
     rounds = 0
     done = None
     if cfg.reciprocal:
-        # Runs of up to RUN_LIMIT tracklets take one task each; the joined form does the larger ones.
+        # Runs of up to RUN_LIMIT tracklets take one task each; the joined form begins the larger ones.
         columns = ["run_id", "key", "cam", "first_frame", "last_frame", "prototype", "root"]
         counted = members.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum("observations").alias("m"))
         fits = f"n <= {run_limit}" + ("" if rows is None else f" and m <= {SET_LIMIT}")
         small, large = (counted.filter(test).select("run_id") for test in (fits, f"not ({fits})"))
-        schema = "run_id string, key long, final long, merge_score double, merge_round int"
         within = members.join(small, "run_id", "left_semi").select(*columns)
         if rows is not None:
             listed = rows.groupBy("run_id", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "det_id", "unit_vector"))), lambda x: x["unit_vector"]).alias("rows"))
             within = within.join(listed, ["run_id", "key"])
-        settled, rounds = within.groupBy("run_id").applyInPandas(lambda pdf: rounds_of_run(pdf, cfg), schema), 1
+        settled, rounds = within.groupBy("run_id").applyInPandas(lambda pdf: rounds_of_run(pdf, cfg), SETTLED), 1
         more = not large.isEmpty()
         if more and rows is None:
-            joined, rounds = joined_rounds(members.join(large, "run_id", "left_semi").select(*columns), cfg, dim)
+            joined, rounds = joined_rounds(members.join(large, "run_id", "left_semi").select(*columns), cfg, dim, limit=run_limit)
             settled, more = settled.unionByName(joined), False
         done = cut(members.join(settled, ["run_id", "key"]).withColumn("root", F.col("final")).drop("final"))
         if not more:

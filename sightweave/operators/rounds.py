@@ -3,6 +3,7 @@
 Only pairs over their bar are looked at beyond their score. A cluster's best partner is kept over
 rounds and looked for again only if either of them went into a union; others are compared with the
 clusters that are new. So a round costs what changed. Scores count to twelve places.
+The joined form gives a run to a task as soon as few enough of its clusters are left.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from pyspark.sql import types as T
 
 from sightweave.config import ReconcileConfig
 from sightweave.operators.pairs import set_score
-from sightweave.session import cut
+from sightweave.session import cut, release
 
 #: Rows of a matrix product; clusters of a block of the joined form.
 ROWS, BLOCK = 256, 4096
+#: What rounds_of_run returns.
+SETTLED = "run_id string, key long, final long, merge_score double, merge_round int"
 
 
 class Spans:
@@ -102,22 +105,31 @@ def set_edges(sets: list[np.ndarray], u: np.ndarray, mode: str, top_frac: float,
 
 
 def edges(u: np.ndarray, inside: np.ndarray, spans: Spans, cfg: ReconcileConfig, bars: np.ndarray, rows: np.ndarray, cols: np.ndarray, sets: list[np.ndarray] | None = None, half: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row, column, score of the mergeable pairs of rows and columns over their bar. u: unit vectors (zero: none); inside: cameras of each; bars: of the cameras; sets: rows of each, where these score; half: the larger number as column only."""
+    """Row, column, score of the mergeable pairs of rows and columns over their bar. u: unit vectors (zero: none); inside: cameras of each; bars: of the cameras; sets: rows of each, where these score; half: the larger number as column only.
+
+    Products in single precision, which are off by less than 1e-5, rule out pairs; the others' scores are exact.
+    """
     least = min(cfg.cross_bar, bars.min(initial=cfg.cross_bar))
-    single, right = inside.sum(1) == 1, u[cols]
-    home = np.where(single, inside.argmax(1), -1)
+    home = np.where(inside.sum(1) == 1, inside.argmax(1), -1)
 
     def products() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        right, near = u[cols].astype(np.float32).T, np.float32(least - 1e-5)
         for s in range(0, len(rows), ROWS):
-            i, j = np.nonzero((score := u[rows[s : s + ROWS]] @ right.T) >= least)
-            yield rows[s : s + ROWS][i], cols[j], score[i, j]
+            i, j = np.nonzero(u[rows[s : s + ROWS]].astype(np.float32) @ right >= near)
+            r, c = rows[s : s + ROWS][i], cols[j]
+            keep = able(r, c)
+            r, c = r[keep], c[keep]
+            for k in range(0, len(r), 1 << 14):
+                x, y = r[k : k + (1 << 14)], c[k : k + (1 << 14)]
+                value = np.einsum("ij,ij->i", u[x], u[y])
+                keep = value >= least
+                yield x[keep], y[keep], value[keep]
 
     able = lambda r, c: ((r < c) if half else (r != c)) & ((home[r] < 0) | (home[r] != home[c]))
     for r, c, value in products() if sets is None else set_edges(sets, u, cfg.scoring, cfg.top_frac, rows, cols, least, able):
-        keep = able(r, c)
         if least <= 0:
-            keep &= u[r].any(1) & u[c].any(1)
-        value, r, c = value[keep], r[keep], c[keep]
+            keep = u[r].any(1) & u[c].any(1)
+            value, r, c = value[keep], r[keep], c[keep]
         bar, shared = np.full(len(r), cfg.cross_bar), np.zeros(len(r), bool)
         for b in np.unique(bars):  # the strictest bar of the common cameras
             both = (inside[r][:, bars == b] & inside[c][:, bars == b]).any(1)
@@ -139,16 +151,20 @@ def better(best: np.ndarray, score: np.ndarray, r: np.ndarray, c: np.ndarray, s:
 
 
 def rounds_of_run(pdf: pd.DataFrame, cfg: ReconcileConfig) -> pd.DataFrame:
-    """All rounds of a run in a task; memory grows with the number of tracklets, and with their rows where these score (column rows: all of a tracklet, in order)."""
+    """All rounds of a run in a task; memory grows with the number of vectors, and with the rows of tracklets where these score (column rows: all of a tracklet, in order).
+
+    A cluster's vectors are added up: the prototypes of its tracklets, or the sum of all on one of them and null on the others.
+    """
     pdf = pdf.sort_values("key").reset_index(drop=True)
-    v = np.array(pdf["prototype"].tolist(), dtype=np.float64)
+    holds = np.flatnonzero(pdf["prototype"].notna())
+    v = np.array(pdf["prototype"].iloc[holds].tolist(), dtype=np.float64)
     names, cam = np.unique(pdf["cam"].to_numpy().astype(str), return_inverse=True)
     bars = np.array([cfg.bar(c) for c in names])
     start, end = pdf["first_frame"].to_numpy(), pdf["last_frame"].to_numpy()
     roots, own = np.unique(pdf["root"].to_numpy(), return_inverse=True)
     n = len(roots)
     sums, inside = np.zeros((n, v.shape[1])), np.zeros((n, len(names)), bool)
-    np.add.at(sums, own, v)
+    np.add.at(sums, own[holds], v)
     inside[own, cam] = True
     length = np.linalg.norm(sums, axis=1, keepdims=True)
     u = sums / np.where(length == 0, 1, length)
@@ -184,8 +200,8 @@ def rounds_of_run(pdf: pd.DataFrame, cfg: ReconcileConfig) -> pd.DataFrame:
         gone[a] = gone[b] = True
         # Sums of the new clusters from their tracklets in order, so that they don't depend on the rounds.
         sums[a] = 0
-        mine = np.flatnonzero(gone[own])
-        np.add.at(sums, own[mine], v[mine])
+        mine = np.flatnonzero(gone[own[holds]])
+        np.add.at(sums, own[holds[mine]], v[mine])
         length = np.linalg.norm(sums[a], axis=1, keepdims=True)
         u[a] = sums[a] / np.where(length == 0, 1, length)
         for x, y in zip(a, b) if lists else ():
@@ -197,11 +213,12 @@ def rounds_of_run(pdf: pd.DataFrame, cfg: ReconcileConfig) -> pd.DataFrame:
     return pd.DataFrame({"run_id": pdf["run_id"], "key": pdf["key"], "final": roots[own], "merge_score": [m[0] for m in at], "merge_round": pd.array([m[1] for m in at], dtype="Int32")})
 
 
-def joined_rounds(members: DataFrame, cfg: ReconcileConfig, dim: int, block: int = BLOCK) -> tuple[DataFrame, int]:
-    """run_id, key, final, merge_score, merge_round of every member, and the number of rounds, by tasks that hold two blocks of a run's clusters.
+def joined_rounds(members: DataFrame, cfg: ReconcileConfig, dim: int, block: int = BLOCK, limit: int = 0) -> tuple[DataFrame, int]:
+    """run_id, key, final, merge_score, merge_round of every member, and the number of joined rounds, by tasks that hold two blocks of a run's clusters.
 
     A cluster is a row with its sum, its spans and the tracklets in it; the clusters to be looked for
-    meet the blocks of all. What a round changes is all that later ones compare.
+    meet the blocks of all. What a round changes is all that later ones compare. As late rounds are
+    many and small, a run of which up to limit clusters are left takes one task for the rest of them.
     """
     spans = F.collect_list(F.struct("cam", F.col("first_frame").alias("s"), F.col("last_frame").alias("e"), "key"))
     rows = members.groupBy("run_id", "root").agg(spans.alias("spans"), F.collect_list(F.struct("key", "prototype")).alias("p"))
@@ -233,8 +250,18 @@ def joined_rounds(members: DataFrame, cfg: ReconcileConfig, dim: int, block: int
         run = t.column("run_id").chunk(0).take(pa.array(np.zeros(len(at), np.int64)))
         return pa.table({"run_id": run, "root": known[at], "partner": known[best[at]], "score": score[at]})
 
-    rounds, told = 0, []
+    rounds, told, rests = 0, [], []
     while True:  # every round but the last makes a union
+        if limit:
+            few = [r[0] for r in clusters.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= limit).collect()]  # runs of over limit tracklets, so not many
+            if few:
+                one = clusters.filter(F.col("run_id").isin(few)).select("run_id", "root", "total", F.explode("spans").alias("m"))
+                one = one.select("run_id", "m.key", "m.cam", F.col("m.s").alias("first_frame"), F.col("m.e").alias("last_frame"), F.when(F.col("m.key") == F.col("root"), F.col("total")).alias("prototype"), "root")
+                rest = one.groupBy("run_id").applyInPandas(lambda pdf: rounds_of_run(pdf, cfg), SETTLED)
+                rests.append(cut(rest.withColumn("merge_round", F.col("merge_round") + rounds)))
+                clusters = cut(clusters.filter(~F.col("run_id").isin(few)))
+            if clusters.isEmpty():
+                break
         rounds += 1
         sizes = clusters.groupBy("run_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nx"), F.ceil(F.count_if("search") / block).cast("int").alias("ny")).filter("ny > 0")
         part = lambda n: F.pmod(F.xxhash64("root"), F.col(n)).cast("int")
@@ -263,10 +290,16 @@ def joined_rounds(members: DataFrame, cfg: ReconcileConfig, dim: int, block: int
         sums = F.zip_with(F.col("c")[0]["total"], F.col("c")[1]["total"], lambda x, y: x + y)
         made = both.select("run_id", F.col("a").alias("root"), sums.alias("total"), F.concat(F.col("c")[0]["spans"], F.col("c")[1]["spans"]).alias("spans")).withColumns(none)
         clusters = cut(same.select(*clusters.columns).unionByName(made))
+        release(clusters)
     final = clusters.select("run_id", F.col("root").alias("final"), F.explode("spans.key").alias("key"))
+    final = final.withColumns({"merge_score": F.lit(None).cast("double"), "merge_round": F.lit(None).cast("int")})
+    for rest in rests:
+        final = final.unionByName(rest)
     if not told:
-        return final.withColumns({"merge_score": F.lit(None).cast("double"), "merge_round": F.lit(None).cast("int")}), rounds
+        return final, rounds
     unions = told[0]
     for more in told[1:]:
         unions = unions.unionByName(more)
-    return final.join(unions, ["run_id", "key"], "left"), rounds
+    before = unions.select("run_id", "key", F.col("merge_score").alias("s"), F.col("merge_round").alias("n"))
+    joined = final.join(before, ["run_id", "key"], "left")
+    return joined.select("run_id", "key", "final", F.coalesce("merge_score", "s").alias("merge_score"), F.coalesce("merge_round", "n").alias("merge_round")), rounds

@@ -86,6 +86,27 @@ def test_joined_rounds_of_several_blocks_are_the_same(spark):
     assert found(got.toPandas()) == want and number == max(r for _, r in want[1].values()) + 1
 
 
+def test_joined_rounds_end_in_a_task_when_few_clusters_are_left(spark):
+    pdf = pd.concat([run_of(60, 8, 9, 0.2, 5), run_of(30, 8, 9, 0.2, 6).assign(run_id="s")])
+    got, number = rnd.joined_rounds(spark.createDataFrame(pdf), CFG, 8, block=16, limit=40)
+    got, late = got.toPandas(), 0
+    for run, rows in pdf.groupby("run_id"):
+        want = plain(rows, CFG)
+        assert found(got[got["run_id"] == run]) == want
+        late = max(late, *(r for _, r in want[1].values()))
+    assert len(got) == 90 and 1 <= number < late
+
+
+def test_a_pair_just_over_the_bar_is_told_from_one_just_under():
+    a = np.zeros((3, 128))
+    a[0, 0] = 1
+    for k, s in ((1, 0.75 + 1e-10), (2, 0.75 - 1e-10)):
+        a[k, 0], a[k, k] = s, np.sqrt(1 - s * s)
+    spans = rnd.Spans(np.arange(3), np.arange(3), np.zeros(3), np.zeros(3))
+    got = [(i, j, s) for r, c, v in rnd.edges(a, np.eye(3, dtype=bool), spans, CFG, np.full(3, 0.85), np.arange(3), np.arange(3)) for i, j, s in zip(r, c, v)]
+    assert sorted(got) == [(0, 1, 0.7500000001), (1, 0, 0.7500000001)]
+
+
 def test_a_task_holds_no_table_of_all_pairs():
     pdf = run_of(3000, 16, 300, 0.1, 7)
     tracemalloc.start()
