@@ -21,8 +21,8 @@ from sightweave.config import ReconcileConfig
 from sightweave.operators.pairs import set_score
 from sightweave.session import cut, release
 
-#: Rows of a matrix product; clusters of a block of the joined form.
-ROWS, BLOCK = 256, 4096
+#: Rows of a matrix product; clusters of a block of the joined form; its rows of keys up to which a join takes them to the clusters instead of shuffling these.
+ROWS, BLOCK, FEW = 256, 4096, 50_000
 #: What rounds_of_run returns.
 SETTLED = "run_id string, key long, final long, merge_score double, merge_round int"
 
@@ -217,7 +217,8 @@ def joined_rounds(members: DataFrame, cfg: ReconcileConfig, dim: int, block: int
     """run_id, key, final, merge_score, merge_round of every member, and the number of joined rounds, by tasks that hold two blocks of a run's clusters.
 
     A cluster is a row with its sum, its spans and the tracklets in it; the clusters to be looked for
-    meet the blocks of all. What a round changes is all that later ones compare. As late rounds are
+    meet the blocks of all. Who is whose partner stands apart (state), so that a round moves only the
+    clusters that meet or go into a union. What a round changes is all that later ones compare. As late rounds are
     many and small, a run of which up to limit clusters are left takes one task for the rest of them.
     """
     spans = F.collect_list(F.struct("cam", F.col("first_frame").alias("s"), F.col("last_frame").alias("e"), "key"))
@@ -225,7 +226,10 @@ def joined_rounds(members: DataFrame, cfg: ReconcileConfig, dim: int, block: int
     rows = rows.select("run_id", "root", "spans", F.transform(F.array_sort("p"), lambda x: x["prototype"]).alias("p"))
     total = F.aggregate("p", F.array_repeat(F.lit(0.0), dim), lambda t, x: F.zip_with(t, x, lambda y, z: y + z))
     none = {"partner": F.lit(None).cast("long"), "score": F.lit(None).cast("double"), "search": F.lit(True)}
-    clusters = cut(rows.select("run_id", "root", total.alias("total"), "spans").withColumns(none))
+    clusters = cut(rows.select("run_id", "root", total.alias("total"), "spans"))
+    state = clusters.select("run_id", "root").withColumns(none)  # clusters with a partner, and those to be looked for
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near_if = lambda df, n: F.broadcast(df) if n <= FEW else df
     kind = members.schema["run_id"].dataType
     found = T.StructType([T.StructField("run_id", kind), T.StructField("root", T.LongType()), T.StructField("partner", T.LongType()), T.StructField("score", T.DoubleType())])
 
@@ -250,7 +254,7 @@ def joined_rounds(members: DataFrame, cfg: ReconcileConfig, dim: int, block: int
         run = t.column("run_id").chunk(0).take(pa.array(np.zeros(len(at), np.int64)))
         return pa.table({"run_id": run, "root": known[at], "partner": known[best[at]], "score": score[at]})
 
-    rounds, told, rests = 0, [], []
+    rounds, told, rests, most = 0, [], [], clusters.count()
     while True:  # every round but the last makes a union
         if limit:
             few = [r[0] for r in clusters.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= limit).collect()]  # runs of over limit tracklets, so not many
@@ -259,37 +263,45 @@ def joined_rounds(members: DataFrame, cfg: ReconcileConfig, dim: int, block: int
                 one = one.select("run_id", "m.key", "m.cam", F.col("m.s").alias("first_frame"), F.col("m.e").alias("last_frame"), F.when(F.col("m.key") == F.col("root"), F.col("total")).alias("prototype"), "root")
                 rest = one.groupBy("run_id").applyInPandas(lambda pdf: rounds_of_run(pdf, cfg), SETTLED)
                 rests.append(cut(rest.withColumn("merge_round", F.col("merge_round") + rounds)))
-                clusters = cut(clusters.filter(~F.col("run_id").isin(few)))
+                clusters, state = (cut(df.filter(~F.col("run_id").isin(few))) for df in (clusters, state))
             if clusters.isEmpty():
                 break
         rounds += 1
-        sizes = clusters.groupBy("run_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nx"), F.ceil(F.count_if("search") / block).cast("int").alias("ny")).filter("ny > 0")
+        each_one = clusters.select("run_id", F.lit(False).alias("asks")).unionByName(state.filter("search").select("run_id", F.lit(True).alias("asks")))
+        sizes = each_one.groupBy("run_id").agg(F.ceil(F.count_if(~F.col("asks")) / block).cast("int").alias("nx"), F.ceil(F.count_if("asks") / block).cast("int").alias("ny")).filter("ny > 0")
         part = lambda n: F.pmod(F.xxhash64("root"), F.col(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        near = clusters.join(sizes, "run_id")
+        near = clusters.join(F.broadcast(sizes), "run_id")  # a row for each run
         here = near.select("run_id", "root", "total", "spans", F.lit(False).alias("asks"), part("nx").alias("x"), each("ny").alias("y"))
-        asked = near.filter("search").select("run_id", "root", "total", "spans", F.lit(True).alias("asks"), each("nx").alias("x"), part("ny").alias("y"))
+        search = near
+        if rounds > 1:
+            wanted = state.filter("search").select("run_id", "root")
+            search = near.join(near_if(wanted, most if most <= FEW else wanted.count()), ["run_id", "root"], "left_semi")
+        asked = search.select("run_id", "root", "total", "spans", F.lit(True).alias("asks"), each("nx").alias("x"), part("ny").alias("y"))
         pairs = here.unionByName(asked)
         if rounds == 1:
             pairs = pairs.filter("x <= y")  # all are asked: a pair of blocks meets once
         new = pairs.groupBy("run_id", "x", "y").applyInArrow(compare, found)
-        kept = clusters.filter("not search and partner is not null").select("run_id", "root", "partner", "score")
+        kept = state.filter("not search and partner is not null").select("run_id", "root", "partner", "score")
         best = new.unionByName(kept).groupBy("run_id", "root").agg(F.max(F.struct("score", "partner")).alias("m")).select("run_id", "root", "m.partner", "m.score")
         best = cut(best)
         ends = [F.least("root", "partner").alias("a"), F.greatest("root", "partner").alias("b")]
         moves = cut(best.groupBy("run_id", *ends).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("at")).filter("n = 2").drop("n"))
-        if moves.isEmpty():
+        made_now = moves.count()
+        if not made_now:
             break
+        most -= made_now
         told.append(moves.select("run_id", F.col("b").alias("key"), F.col("at").alias("merge_score"), F.lit(rounds).alias("merge_round")))
         gone = moves.select("run_id", "a", F.explode(F.array("a", "b")).alias("root"))
-        lost = gone.select("run_id", F.col("root").alias("partner"), F.lit(True).alias("lost"))
-        state = best.join(lost, ["run_id", "partner"], "left").select("run_id", "root", "partner", "score", "lost")
-        same = clusters.drop("partner", "score", "search").join(gone.select("run_id", "root"), ["run_id", "root"], "left_anti").join(state, ["run_id", "root"], "left")
-        same = same.withColumn("search", F.col("lost").isNotNull()).drop("lost")
-        both = clusters.join(gone, ["run_id", "root"]).groupBy("run_id", "a").agg(F.array_sort(F.collect_list(F.struct("root", "total", "spans"))).alias("c"))
+        left = near_if(gone.select("run_id", "root"), 2 * made_now)
+        lost = near_if(gone.select("run_id", F.col("root").alias("partner"), F.lit(True).alias("lost")), 2 * made_now)
+        stay = best.join(left, ["run_id", "root"], "left_anti").join(lost, ["run_id", "partner"], "left")
+        stay = stay.select("run_id", "root", "partner", "score", F.col("lost").isNotNull().alias("search"))
+        both = clusters.join(near_if(gone, 2 * made_now), ["run_id", "root"]).groupBy("run_id", "a").agg(F.array_sort(F.collect_list(F.struct("root", "total", "spans"))).alias("c"))
         sums = F.zip_with(F.col("c")[0]["total"], F.col("c")[1]["total"], lambda x, y: x + y)
-        made = both.select("run_id", F.col("a").alias("root"), sums.alias("total"), F.concat(F.col("c")[0]["spans"], F.col("c")[1]["spans"]).alias("spans")).withColumns(none)
-        clusters = cut(same.select(*clusters.columns).unionByName(made))
+        made = both.select("run_id", F.col("a").alias("root"), sums.alias("total"), F.concat(F.col("c")[0]["spans"], F.col("c")[1]["spans"]).alias("spans"))
+        state = cut(stay.unionByName(moves.select("run_id", F.col("a").alias("root")).withColumns(none)))
+        clusters = cut(clusters.join(left, ["run_id", "root"], "left_anti").select(*made.columns).unionByName(made).coalesce(parts))
         release(clusters)
     final = clusters.select("run_id", F.col("root").alias("final"), F.explode("spans.key").alias("key"))
     final = final.withColumns({"merge_score": F.lit(None).cast("double"), "merge_round": F.lit(None).cast("int")})

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bits of an estimated size that no table has.
+SIZE_BITS = 64
+
+
 def build_session(app: str = "sightweave", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every operator assumes: UTC, AQE and Arrow transfer."""
     builder = SparkSession.builder.appName(app)
@@ -43,9 +47,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise reliably and cut the lineage; survives the loss of any executor."""
+    """Materialise reliably and cut the lineage; survives the loss of any executor.
+
+    A checkpoint keeps the planner's estimate of its size, and a join multiplies those of its sides: over
+    rounds of joins the numbers get megabytes long. One beyond any size is given up for the default.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    plan = done._jdf.queryExecution()
+    try:
+        if plan.optimizedPlan().stats().sizeInBytes().bit_length() < SIZE_BITS:
+            return done
+    except ValueError:  # more digits than Python takes
+        pass
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(plan.toRdd(), done._jdf.schema(), False), df.sparkSession)
 
 
 def release(df: DataFrame) -> None:

@@ -5,6 +5,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from sightweave.config import ReconcileConfig
 from sightweave.operators import rounds as rnd
@@ -86,6 +87,25 @@ def test_joined_rounds_of_several_blocks_are_the_same(spark):
     assert found(got.toPandas()) == want and number == max(r for _, r in want[1].values()) + 1
 
 
+def test_joined_rounds_are_the_same_where_keys_are_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(rnd, "FEW", 0)
+    pdf = pd.concat([run_of(60, 8, 9, 0.2, 5), run_of(30, 8, 9, 0.2, 6).assign(run_id="s")])
+    got = rnd.joined_rounds(spark.createDataFrame(pdf), CFG, 8, block=16)[0].toPandas()
+    assert len(got) == 90
+    for run, rows in pdf.groupby("run_id"):
+        assert found(got[got["run_id"] == run]) == plain(rows, CFG)
+
+
+def test_estimates_of_size_do_not_grow_over_rounds(spark):
+    from sightweave.session import cut
+
+    now = cut(spark.range(20).withColumn("v", F.array("id")))
+    for _ in range(5):  # joins multiply them: 3 ** 5 times as many digits
+        now = cut(now.join(now.select("id"), "id").join(now.select("id"), "id"))
+    assert now._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64
+    assert sorted(r["v"][0] for r in now.collect()) == list(range(20))
+
+
 def test_joined_rounds_end_in_a_task_when_few_clusters_are_left(spark):
     pdf = pd.concat([run_of(60, 8, 9, 0.2, 5), run_of(30, 8, 9, 0.2, 6).assign(run_id="s")])
     got, number = rnd.joined_rounds(spark.createDataFrame(pdf), CFG, 8, block=16, limit=40)
